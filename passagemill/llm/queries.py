@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from passagemill.llm import borda, distinctive, splitting, tokenizer
+from passagemill.llm import borda, distinctive, leakage, splitting, subjects, tokenizer
 from passagemill.session import read
 
 QUERIES: dict = {}
@@ -127,3 +127,41 @@ def p6_pieces(spark: SparkSession, d: str) -> DataFrame:
 @query
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokenizer.encode_corpus(read(spark, d, "documents"))
+
+
+# 9. Evaluation texts leaking into training text
+
+
+def _leaks(spark: SparkSession, d: str) -> DataFrame:
+    return leakage.find_leaks(read(spark, d, "documents"), read(spark, d, "eval_items"))
+
+
+@query
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return _leaks(spark, d).select("doc_id", "item_id")
+
+
+@query
+def p9_report(spark: SparkSession, d: str) -> DataFrame:
+    """Leaked items per split and source of the items."""
+    return leakage.leak_report(_leaks(spark, d), read(spark, d, "eval_items"))
+
+
+# 10. Subject area of each document
+
+
+def _mixtures(spark: SparkSession, d: str) -> DataFrame:
+    documents = read(spark, d, "documents")
+    return subjects.mixtures(documents, subjects.fit(documents, read(spark, d, "subject_labels")))
+
+
+@query
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return _mixtures(spark, d).where(F.col("share") >= subjects.SHARE).select("doc_id", "subject")
+
+
+@query
+def p10_composition(spark: SparkSession, d: str) -> DataFrame:
+    """Documents and subject sentences per source and subject."""
+    source = read(spark, d, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "source")
+    return _mixtures(spark, d).join(source, "doc_id").groupBy("source", "subject").agg(F.count(F.lit(1)).alias("documents"), F.sum("sentences").alias("sentences"))
