@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from passagemill.llm import borda, distinctive, leakage, splitting, subjects, tokenizer
+from passagemill.llm import borda, distinctive, leakage, overlap, splitting, subjects, tokenizer
+from passagemill.operators.orphans import clean_id
 from passagemill.session import read
 
 QUERIES: dict = {}
@@ -121,6 +122,60 @@ def p6_pieces(spark: SparkSession, d: str) -> DataFrame:
     return splitting.split_items(read(spark, d, "chunks"))
 
 
+# 7. Same or near-same records across splits
+
+
+def _sides(spark: SparkSession, d: str) -> DataFrame:
+    split = F.lower(F.trim("split"))
+    q = read(spark, d, "queries").select("query_id", "query", "source", "judgments", split.alias("split")).where(F.col("query_id").isNotNull())
+    return q.withColumn("side", F.when(F.col("split") == "train", "train").when(F.col("split").isin("dev", "test"), "eval")).where(F.col("side").isNotNull())
+
+
+def _judged(spark: SparkSession, d: str) -> DataFrame:
+    """record, side, member: the grade-3 documents of every query, from its judgments and its labels."""
+    q = _sides(spark, d)
+    judged = q.select("query_id", "side", F.explode("judgments").alias("doc", "grade")).where("grade = 3").select("query_id", "side", "doc")
+    labels = read(spark, d, "citation_labels").where("grade = 3").select("query_id", F.col("target_doc_id").alias("doc")).distinct()
+    labelled = labels.join(q.select("query_id", "side").distinct(), "query_id").select("query_id", "side", "doc")
+    return judged.unionByName(labelled).select(F.col("query_id").alias("record"), "side", clean_id(F.col("doc")).alias("member"))
+
+
+def _overlaps(spark: SparkSession, d: str) -> DataFrame:
+    texts = _sides(spark, d).select(F.col("query_id").alias("record"), "side", F.col("query").alias("text"))
+    by_text = overlap.text_overlaps(texts).withColumn("kind", F.lit("wording"))
+    return by_text.unionByName(overlap.set_overlaps(_judged(spark, d)).withColumn("kind", F.lit("judged")))
+
+
+@query
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return overlap.ordered(_overlaps(spark, d))
+
+
+@query
+def p7_judged(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs whose grade-3 documents overlap by half or more, with the overlap."""
+    return overlap.set_overlaps(_judged(spark, d)).select(F.col("left").alias("train_id"), F.col("right").alias("eval_id"), F.round("coverage", 6).alias("coverage"))
+
+
+@query
+def p7_report(spark: SparkSession, d: str) -> DataFrame:
+    """Evaluation queries that repeat a training query, per split, source and kind of overlap."""
+    found = _overlaps(spark, d).groupBy("right", "kind").agg(F.count(F.lit(1)).alias("pairs"), F.max("coverage").alias("coverage"))
+    q = _sides(spark, d).where("side = 'eval'").select("query_id", "split", "source").distinct()
+    joined = q.join(found, q["query_id"] == found["right"])
+    return joined.groupBy("split", "source", "kind").agg(F.countDistinct("query_id").alias("queries"), F.sum("pairs").alias("pairs"), F.round(F.avg("coverage"), 6).alias("mean_coverage"))
+
+
+ORACLE["p7_judged"] = """WITH q AS (SELECT DISTINCT query_id, lower(trim(split)) AS split FROM queries WHERE query_id IS NOT NULL),
+s AS (SELECT query_id, CASE WHEN split = 'train' THEN 'train' ELSE 'eval' END AS side FROM q WHERE split IN ('train', 'dev', 'test')),
+j AS (SELECT query_id, unnest(map_entries(judgments)) AS e FROM (SELECT DISTINCT query_id, judgments FROM queries)),
+m AS (SELECT query_id, upper(trim(e.key)) AS doc FROM j WHERE e.value = 3 UNION SELECT query_id, upper(trim(target_doc_id)) FROM citation_labels WHERE grade = 3),
+r AS (SELECT DISTINCT m.query_id, side, doc FROM m JOIN s USING (query_id) WHERE doc IS NOT NULL AND doc <> ''),
+n AS (SELECT query_id, count(*) AS n FROM r GROUP BY 1 HAVING count(*) >= 3),
+c AS (SELECT a.query_id AS train_id, b.query_id AS eval_id, count(*) AS common FROM r a JOIN r b ON a.doc = b.doc AND a.side = 'train' AND b.side = 'eval' GROUP BY 1, 2)
+SELECT train_id, eval_id, round(common / (x.n + y.n - common), 6) AS coverage FROM c JOIN n x ON x.query_id = train_id JOIN n y ON y.query_id = eval_id WHERE common / (x.n + y.n - common) >= 0.5"""
+
+
 # 8. Encoding of the whole corpus with a public tokenizer
 
 
