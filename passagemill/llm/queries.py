@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from passagemill.llm import borda, distinctive, leakage, overlap, splitting, subjects, tokenizer
+from passagemill.llm import borda, distinctive, leakage, neighbours, overlap, splitting, subjects, tokenizer
 from passagemill.operators.orphans import clean_id
 from passagemill.session import read
 
@@ -108,6 +108,22 @@ p AS (SELECT query_id, chunk_id, 4.0 * n - r_base - r_coverage - r_proximity - r
 SELECT query_id, chunk_id, round(points, 6) AS points, row_number() OVER (PARTITION BY query_id ORDER BY points DESC, chunk_id) AS rank FROM p"""
 
 
+# 5. Most similar vectors for every vector
+
+
+@query
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    near = neighbours.neighbours(read(spark, d, "chunks")).where("similarity >= 0.9")
+    return near.select(F.least("id", "neighbour").alias("chunk_lo"), F.greatest("id", "neighbour").alias("chunk_hi")).distinct()
+
+
+@query
+def p5_neighbours(spark: SparkSession, d: str) -> DataFrame:
+    """The ten most similar chunks of every chunk."""
+    near = neighbours.neighbours(read(spark, d, "chunks"))
+    return near.select(F.col("id").alias("chunk_id"), F.col("neighbour").alias("similar_id"), F.round("similarity", 5).alias("similarity"), "rank")
+
+
 # 6. Splitting oversized items at natural boundaries
 
 
