@@ -50,7 +50,7 @@ def panel(queries: DataFrame, run: DataFrame, qrels: DataFrame, ks: tuple[int, .
     non = F.when(F.col("grade") < RELEVANT, 1).otherwise(0)
     j = j.withColumn("rel", rel).withColumn("non", non).withColumn("hits", F.sum("rel").over(w)).withColumn("above", F.sum("non").over(w))
     j = j.join(ideal.select("query_id", "relevant", "nonrelevant"), "query_id", "left")
-    low = F.least("relevant", "nonrelevant")
+    low = F.nullif(F.least("relevant", "nonrelevant"), F.lit(0))
     at = lambda k, c: F.sum(F.when(F.col("rank") <= k, c).otherwise(0))
     per = j.groupBy("query_id").agg(
         F.count(F.lit(1)).alias("returned"),
