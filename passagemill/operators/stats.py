@@ -44,7 +44,7 @@ def compare(pairs: DataFrame, by: list[str]) -> DataFrame:
         count(F.col("diff") > TIE).alias("wins"), count(F.col("diff") < -TIE).alias("losses"), count(F.abs("diff") <= TIE).alias("ties"),
     ).where("n >= 2")
     # the values have six digits, so a mean may fall on a rounding edge; a bias far below them settles it for any sum order
-    six = lambda c, n: F.round(c + 1e-9, 6).alias(n)
+    six = lambda c, n: F.round((F.col(c) if isinstance(c, str) else c) + 1e-9, 6).alias(n)
     return g.select(*by, "n", six("ma", "mean_a"), six("mb", "mean_b"), six("d", "delta"), six("sd", "sd"), six(F.when(F.col("sd") > 0, F.col("d") / F.col("sd")).otherwise(0.0), "effect"), "wins", "losses", "ties")
 
 

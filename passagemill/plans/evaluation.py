@@ -173,7 +173,7 @@ def holm_gate(spark: SparkSession, d: str) -> DataFrame:
     return stats.holm(stats.resample(_pairs(spark, d)), order="metric")
 
 
-@query(f"WITH {_PAIRED}, bc AS (SELECT query_id, diff FROM pr WHERE metric = 'ndcg_10') SELECT query_id, round(diff, 6) AS diff, kind FROM ((SELECT query_id, diff, 'loss' AS kind FROM bc WHERE diff < -1e-9 ORDER BY diff, query_id LIMIT 10) UNION ALL (SELECT query_id, diff, 'win' FROM p WHERE diff > 1e-9 ORDER BY diff DESC, query_id LIMIT 10))")
+@query(f"WITH {_PAIRED}, bc AS (SELECT query_id, diff FROM pr WHERE metric = 'ndcg_10') SELECT query_id, round(diff, 6) AS diff, kind FROM ((SELECT query_id, diff, 'loss' AS kind FROM bc WHERE diff < -1e-9 ORDER BY diff, query_id LIMIT 10) UNION ALL (SELECT query_id, diff, 'win' FROM bc WHERE diff > 1e-9 ORDER BY diff DESC, query_id LIMIT 10))")
 def biggest_changes(spark: SparkSession, d: str) -> DataFrame:
     """The queries that gained and lost most between the two runs."""
     p = _pairs(spark, d).where("metric = 'ndcg_10'").select("query_id", "diff")
