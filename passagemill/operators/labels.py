@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from passagemill.functions.text import norm_key
-from passagemill.session import cut_lineage
+from passagemill.session import cut_lineage, release
 
 # Limits of mined labels.
 MAX_COCITED, MAX_PER_TARGET, MAX_PER_SOURCE, MIN_CHARS, MAX_CHARS, LETTERS = 3, 4, 12, 60, 320, 0.6
@@ -79,7 +79,8 @@ def build_labels(contexts: DataFrame, corpus: DataFrame, per_target: int = MAX_P
         s = s.join(free, order)
         surely = (F.col("key_hi") == 0) & (F.col("src_hi") < per_source) & (F.col("surely") == 1)
         never = (F.col("key_lo") > 0) | (F.col("src_lo") >= per_source) | (F.col("maybe") == 0)
-        state = cut_lineage(s.select("source", "position", "key", F.coalesce("taken", F.when(surely, True).when(never, False)).alias("taken")))
+        old, state = state, cut_lineage(s.select("source", "position", "key", F.coalesce("taken", F.when(surely, True).when(never, False)).alias("taken")))
+        release(old)
         if not state.where("taken IS NULL").limit(1).count():
             break
     kept = rows.join(state.where("taken").select(*order), order)

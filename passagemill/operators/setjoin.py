@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from passagemill.operators.skew import LEAST_ROWS, SHARE, salted_join
-from passagemill.session import cut_lineage
+from passagemill.session import cut_lineage, release
 
 
 def rarest(rows: DataFrame, owner: list[str], member: str, needed: Column) -> DataFrame:
@@ -35,7 +35,7 @@ def similar_sets(members: DataFrame, part: float = 0.5, left: Column | None = No
     rows = members.where(F.col("owner").isNotNull() & F.col("member").isNotNull()).distinct()
     rows = rows.withColumn("_l", left if sided else F.lit(True)).withColumn("_r", right if sided else F.lit(True)).select(*keep, "_l", "_r").distinct()
     size = rows.groupBy("owner").agg(F.countDistinct("member").cast("int").alias("n")).where(F.col("n") >= least)
-    rows = rows.join(size, "owner")
+    rows = cut_lineage(rows.join(size, "owner"))  # read four times below
     few = rarest(rows.select("owner", "member", "n", "_l", "_r"), ["owner"], "member", F.ceil(F.col("n") * F.lit(part)))
     a = few.where("_l").select(F.col("owner").alias("left"), "member", F.col("n").alias("n1"))
     b = few.where("_r").select(F.col("owner").alias("right"), "member", F.col("n").alias("n2"))
@@ -49,21 +49,33 @@ def similar_sets(members: DataFrame, part: float = 0.5, left: Column | None = No
     return counted.withColumn("coverage", F.col("common") / (F.col("n1") + F.col("n2") - F.col("common"))).where(F.col("coverage") >= part).select("left", "right", "coverage")
 
 
-def components(nodes: DataFrame, links: DataFrame, rounds: int = 50) -> DataFrame:
-    """node, component (its smallest node): smallest labels spread along the links, with pointer jumping.
+def components(nodes: DataFrame, links: DataFrame, rounds: int = 60) -> DataFrame:
+    """node, component (its smallest node), by contraction of the links (left, right).
 
-    Labels stay distributed; each round is written to the shared folder, and only the number of changes is counted.
+    Each round every label hooks onto its neighbour of least hash, chains of hooks are shortened by pointer jumping,
+    and the links are rewritten between the labels that are left, so their number falls by a factor each round whatever
+    the shape of the graph. Labels and links stay distributed; each round is written to the shared folder, and only
+    whether links are left comes back to the driver.
     """
-    both = links.select(F.col("left").alias("a"), F.col("right").alias("b"))
-    both = cut_lineage(both.unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = cut_lineage(nodes.select("node", F.col("node").alias("component")).distinct())
+    own = nodes.select("node").distinct()
+    pairs = links.select(F.col("left").alias("a"), F.col("right").alias("b")).where("a <> b")
+    edges = cut_lineage(pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    labels = own.select("node", F.col("node").alias("label"))
+    order = lambda c: F.struct(F.xxhash64(c).alias("h"), F.col(c).alias("l"))
     for _ in range(rounds):
-        seen = both.join(labels.select(F.col("node").alias("b"), F.col("component").alias("c")), "b").groupBy("a").agg(F.min("c").alias("c"))
-        step = labels.join(seen, labels["node"] == seen["a"], "left").select("node", "component", F.least("component", F.coalesce("c", "component")).alias("low"))
-        jump = labels.select(F.col("node").alias("low"), F.col("component").alias("far"))
-        new = cut_lineage(step.join(jump, "low", "left").select("node", "component", F.least("low", F.coalesce("far", "low")).alias("new")))
-        changed = new.where("new <> component").limit(1).count()
-        labels = new.select("node", F.col("new").alias("component"))
-        if not changed:
+        if not edges.limit(1).count():
             break
-    return labels
+        hook = edges.groupBy("a").agg(F.least(F.min(order("b")), F.min(order("a"))).alias("m")).select("a", F.col("m.l").alias("to"))
+        for _ in range(3):
+            far = hook.select(F.col("a").alias("_a"), F.col("to").alias("_to"))
+            hook = hook.join(far, hook["to"] == far["_a"], "left").select("a", F.coalesce("_to", "to").alias("to"))
+        hook = cut_lineage(hook)
+        moved = labels.join(hook, labels["label"] == hook["a"], "left").select("node", F.coalesce("to", "label").alias("label"))
+        old, labels = labels, cut_lineage(moved)
+        side = lambda c: hook.select(F.col("a").alias(c), F.col("to").alias(f"{c}2"))
+        new = edges.join(side("a"), "a").join(side("b"), "b").where("a2 <> b2").select(F.col("a2").alias("a"), F.col("b2").alias("b")).distinct()
+        gone, edges = edges, cut_lineage(new)
+        for t in (old, gone, hook):
+            release(t)
+    least = labels.groupBy("label").agg(F.min("node").alias("component"))
+    return labels.join(least, "label").select("node", "component")

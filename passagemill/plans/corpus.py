@@ -220,10 +220,12 @@ def mined_labels(spark: SparkSession, d: str) -> DataFrame:
     return labels.build_labels(_contexts(spark, d), tb.documents_meta(spark, d).select("doc_id"))
 
 
-@query(f"WITH {tb.META}, c AS (SELECT upper(trim(unnest(cites))) AS doc_id FROM m) SELECT doc_id, count(*) AS n FROM c WHERE doc_id <> '' AND doc_id NOT IN (SELECT doc_id FROM m) GROUP BY 1")
+@query(f"WITH {tb.META}, c AS (SELECT upper(trim(unnest(cites))) AS doc_id FROM m UNION ALL SELECT upper(trim(target_doc_id)) FROM (SELECT DISTINCT label_id, target_doc_id FROM citation_labels)) SELECT doc_id, count(*) AS n FROM c WHERE doc_id <> '' AND doc_id NOT IN (SELECT doc_id FROM m) GROUP BY 1")
 def snowball_frontier(spark: SparkSession, d: str) -> DataFrame:
+    """Cited documents the corpus lacks, with the times they are cited by documents and labels."""
     m = tb.documents_meta(spark, d)
-    cited = m.select(F.explode("cites").alias("c")).select(clean_id(F.col("c")).alias("doc_id")).where("doc_id IS NOT NULL")
+    mined = read(spark, d, "citation_labels").select("label_id", "target_doc_id").distinct().select(F.col("target_doc_id").alias("c"))
+    cited = m.select(F.explode("cites").alias("c")).unionByName(mined).select(clean_id(F.col("c")).alias("doc_id")).where("doc_id IS NOT NULL")
     return labels.snowball_frontier(cited, m.select("doc_id"))
 
 
