@@ -235,3 +235,17 @@ def rank_senses(registry: DataFrame, most: int = 6) -> DataFrame:
     w = Window.partitionBy("key").orderBy("kind_rank", code_like, "source_at", "code")
     n = F.count(F.lit(1)).over(Window.partitionBy("key"))
     return registry.withColumn("senses", n).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most).select("key", "code", "name", "senses", "rank")
+
+
+def synthesis_queries(headings: DataFrame, topics: DataFrame, corpus: DataFrame, least: int = 3, most: int = 40, per_review: int = 8) -> DataFrame:
+    """query_id, query, source, doc_id, grade 3 of review sections (source, heading, cited) with least..most works held by the corpus.
+
+    The query is the heading with the review's topic; of a review the ``per_review`` sections with most works are kept.
+    """
+    held = headings.select("source", "heading", F.explode(F.array_distinct("cited")).alias("doc_id")).where("doc_id <> source").join(corpus.select("doc_id").distinct(), "doc_id", "left_semi").distinct()
+    size = held.groupBy("source", "heading").agg(F.count(F.lit(1)).alias("n")).where(F.col("n").between(least, most))
+    w = Window.partitionBy("source").orderBy(F.desc("n"), "heading")
+    kept = size.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= per_review).select("source", "heading")
+    j = held.join(kept, ["source", "heading"]).join(topics.select("source", "topic"), "source", "left")
+    text = F.concat_ws(" ", "heading", "topic")
+    return j.select(F.concat(F.lit("synth:"), F.substring(F.sha1(F.concat_ws("|", "source", "heading")), 1, 12)).alias("query_id"), text.alias("query"), "source", "doc_id", F.lit(3).alias("grade"))

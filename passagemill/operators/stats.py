@@ -199,3 +199,20 @@ def gate(overall: DataFrame, strata: DataFrame, family: int, primary: str = "ndc
         if m["unjudged_10"]["delta"] > UNJUDGED_SPIKE:
             blockers.append("measurement unreliable")
     return {"promoted": not blockers, "blockers": blockers, "alpha": level}
+
+
+def spread_table(comparisons: DataFrame) -> DataFrame:
+    """stratum, metric, sd: the upper median of the spreads implied by recorded intervals (stratum, metric, ci_low, ci_high, n)."""
+    sd = (F.col("ci_high") - F.col("ci_low")) * F.sqrt("n") / F.lit(3.919928)
+    w = Window.partitionBy("stratum", "metric").orderBy("sd")
+    size = F.count(F.lit(1)).over(Window.partitionBy("stratum", "metric"))
+    r = comparisons.withColumn("sd", sd).withColumn("_r", F.row_number().over(w)).withColumn("_n", size)
+    return r.where(F.col("_r") == F.floor(F.col("_n") / 2) + 1).select("stratum", "metric", F.round("sd", 6).alias("sd"))
+
+
+def smallest_sample(spreads: DataFrame, target: float, sizes: tuple[int, ...] = (50, 100, 200, 500, 1000, 2000)) -> DataFrame:
+    """stratum, metric, n: the first sample size whose detectable effect is at most ``target``; null if none is."""
+    each = F.explode(F.array(*map(F.lit, sizes))).alias("size")
+    ok = spreads.select("stratum", "metric", "sd", each).where(detectable_effect(F.col("size"), F.col("sd")) <= target)
+    best = ok.groupBy("stratum", "metric").agg(F.min("size").alias("n"))
+    return spreads.select("stratum", "metric").join(best, ["stratum", "metric"], "left")

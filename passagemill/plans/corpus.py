@@ -192,6 +192,22 @@ def figure_types(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "chunks").select("chunk_id", "text").distinct().select(named.alias("figure_type")).groupBy("figure_type").agg(F.count(F.lit(1)).alias("passages"))
 
 
+@query("""WITH l AS (SELECT list_sort(list(length(text))) AS v FROM (SELECT DISTINCT chunk_id, text FROM chunks WHERE text IS NOT NULL))
+SELECT len(v) AS n, v[1] AS shortest, v[CAST(floor(0.5 * len(v)) AS INTEGER) + 1] AS median, v[CAST(floor(0.95 * len(v)) AS INTEGER) + 1] AS p95, v[len(v)] AS longest FROM l""")
+def passage_lengths(spark: SparkSession, d: str) -> DataFrame:
+    return structure.length_profile(read(spark, d, "chunks").select("chunk_id", "text").distinct())
+
+
+@query()
+def clause_spans(spark: SparkSession, d: str) -> DataFrame:
+    """The best clauses of each candidate passage with the offsets of their matched words."""
+    from passagemill.operators.evidence import find_clauses
+
+    run = tb.candidate_run(spark, d, "base").select("query_id", "unit_id")
+    pairs = run.join(tb.search_queries(spark, d).select("query_id", "query"), "query_id").join(tb.passages(spark, d).select("unit_id", "body", "start_char"), "unit_id")
+    return find_clauses(pairs)
+
+
 # labels
 
 

@@ -176,6 +176,17 @@ def principal_axes(spark: SparkSession, d: str) -> DataFrame:
     return dense.principal_axes(read(spark, d, "embeddings"))
 
 
+@query()
+def discriminant_axes(spark: SparkSession, d: str) -> DataFrame:
+    return dense.discriminant_axes(read(spark, d, "embeddings"), "label")
+
+
+@query()
+def lsa_vectors(spark: SparkSession, d: str) -> DataFrame:
+    """Passages in the space of the first singular directions of their weighted terms."""
+    return dense.lsa(lexical.tfidf(_index(spark, d), 2), 32, 1000)
+
+
 @query("""WITH x AS (SELECT DISTINCT chunk_id, lower(trim(term)) AS term FROM chunk_terms WHERE tf >= 1 AND trim(term) <> ''),
 g AS (SELECT DISTINCT chunk_id, doc_type AS grp FROM chunks WHERE doc_type IS NOT NULL), n AS (SELECT grp, count(*) AS size FROM g GROUP BY 1), t AS (SELECT sum(size) AS total FROM n),
 c AS (SELECT grp, term, count(*) AS c FROM x JOIN g USING (chunk_id) GROUP BY 1, 2), a AS (SELECT term, sum(c) AS all_c FROM c GROUP BY 1),

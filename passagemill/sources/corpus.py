@@ -257,3 +257,33 @@ def parse_articles(articles: DataFrame) -> DataFrame:
 
     ddl = "doc_id string, sections array<struct<name:string,text:string>>, refs array<struct<rid:string,pmid:string,doi:string,title:string>>, contexts array<struct<text:string,rids:array<string>>>, headings array<struct<text:string,rids:array<string>>>"
     return articles.select(F.col("doc_id").cast("string"), "xml").mapInArrow(run, ddl)
+
+
+_FIG = re.compile(r"<fig\b[^>]*>(.*?)</fig>", re.S)
+_CAPTION = re.compile(r"<caption\b[^>]*>(.*?)</caption>", re.S)
+_LABEL = re.compile(r"<label\b[^>]*>(.*?)</label>", re.S)
+_GRAPHIC = re.compile(r"<graphic\b[^>]*\bhref=\"([^\"]+)\"")
+_ROW, _CELL = re.compile(r"<tr\b[^>]*>(.*?)</tr>", re.S), re.compile(r"<t[dh]\b[^>]*>(.*?)</t[dh]>", re.S)
+#: Rows and columns a table is shown with; its true number of rows is kept beside.
+TABLE_ROWS, TABLE_COLUMNS = 40, 12
+
+
+def xml_figures(xml: str) -> list[tuple[str, str, str]]:
+    """(label, caption, graphic) of the figures that have both a caption and a graphic."""
+    out = []
+    for m in _FIG.finditer(xml):
+        caption, graphic, label = _CAPTION.search(m.group(1)), _GRAPHIC.search(m.group(1)), _LABEL.search(m.group(1))
+        if caption and graphic and plain(caption.group(1)):
+            out.append((plain(label.group(1)) if label else "", plain(caption.group(1)), graphic.group(1)))
+    return out
+
+
+def xml_tables(xml: str) -> list[tuple[str, str, list[list[str]], int]]:
+    """(label, caption, rows, n_rows) of the wrapped tables that are real tables."""
+    out = []
+    for m in _TABLE.finditer(xml):
+        rows = [[plain(c.group(1)) for c in _CELL.finditer(r.group(1))] for r in _ROW.finditer(m.group(0))]
+        if "<table" in m.group(0).replace("<table-wrap", "") and rows:
+            caption, label = _CAPTION.search(m.group(0)), _LABEL.search(m.group(0))
+            out.append((plain(label.group(1)) if label else "", plain(caption.group(1)) if caption else "", [r[:TABLE_COLUMNS] for r in rows[:TABLE_ROWS]], len(rows)))
+    return out
