@@ -9,7 +9,7 @@ from passagemill.functions import text as tx
 from passagemill.operators import compare, labels, setjoin, structure
 from passagemill.operators.orphans import clean_id
 from passagemill.plans import tables as tb
-from passagemill.session import read, scratch_path
+from passagemill.session import read, scratch_path, widen
 from passagemill.sources import corpus as src
 from passagemill.streaming import ledger
 
@@ -103,18 +103,18 @@ _SIGNALS = r"""round(len(regexp_extract_all({t}, '\b(19|20)\d{{2}}\b')) * 1000.0
 def reference_signals(spark: SparkSession, d: str) -> DataFrame:
     """Years and page ranges per 1000 characters of every document."""
     s = structure.signals(F.col("text"))
-    return read(spark, d, "documents").where("text IS NOT NULL").select("doc_id", F.round(s["years"], 6).alias("years"), F.round(s["page_ranges"], 6).alias("page_ranges"))
+    return widen(read(spark, d, "documents").where("text IS NOT NULL").select("doc_id", "text")).select("doc_id", F.round(s["years"], 6).alias("years"), F.round(s["page_ranges"], 6).alias("page_ranges"))
 
 
 @query()
 def reference_density(spark: SparkSession, d: str) -> DataFrame:
     x = structure.density(F.col("text"))
-    return read(spark, d, "documents").where("text IS NOT NULL").select("doc_id", F.round(x, 6).alias("density"), (x >= structure.STANDALONE).alias("reference_like"))
+    return widen(read(spark, d, "documents").where("text IS NOT NULL").select("doc_id", "text")).select("doc_id", F.round(x, 6).alias("density"), (x >= structure.STANDALONE).alias("reference_like"))
 
 
 @query()
 def stripped_references(spark: SparkSession, d: str) -> DataFrame:
-    return structure.strip_references(read(spark, d, "documents").select("doc_id", "text"))
+    return structure.strip_references(widen(read(spark, d, "documents").select("doc_id", "text")))
 
 
 _PARTS = r"""pt AS (SELECT doc_id, substr(text, 1, strpos(text, chr(10) || 'References' || chr(10)) - 1) AS body, substr(text, strpos(text, chr(10) || 'References' || chr(10)) + 12) AS refs FROM documents WHERE contains(text, chr(10) || 'References' || chr(10))),

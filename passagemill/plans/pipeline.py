@@ -82,8 +82,11 @@ def search(config: Config, queries: DataFrame, passages: DataFrame, query_vector
     weights = queries.select("query_id", lex_w.alias("_lw"), den_w.alias("_dw"))
     arms = []
     if config.lexical:
-        ix = index or lexical.build_index(passages.select("unit_id", "text"))
-        arms.append((lexical.top_k(lexical.bm25(lexical.query_terms(queries), ix, config.k1, config.b, config.literal_boost), config.arm_k), "_lw"))
+        if index is None:
+            arm = lexical.search(queries, passages.select("unit_id", "text"), config.arm_k, config.k1, config.b, config.literal_boost)
+        else:
+            arm = lexical.top_k(lexical.bm25(lexical.query_terms(queries), index, config.k1, config.b, config.literal_boost), config.arm_k)
+        arms.append((arm, "_lw"))
     if config.dense and vectors is not None and query_vectors is not None:
         arms.append((dense.cosine_topk(query_vectors, vectors, config.arm_k), "_dw"))
     if len(arms) == 1:

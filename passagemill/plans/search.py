@@ -84,7 +84,7 @@ def _index(spark: SparkSession, d: str) -> lexical.Index:
 
 
 def _lexical(spark: SparkSession, d: str, k: int = 50) -> DataFrame:
-    return lexical.top_k(lexical.bm25(lexical.query_terms(tb.search_queries(spark, d)), _index(spark, d)), k)
+    return lexical.search(tb.search_queries(spark, d), tb.passages(spark, d).select("unit_id", "text"), k)
 
 
 def _dense(spark: SparkSession, d: str, k: int = 50) -> DataFrame:
@@ -105,7 +105,13 @@ def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {tb.index_sql(10, 'raw_tf')} SELECT query_id, unit_id, score, rank FROM lex")
 def raw_tf_topk(spark: SparkSession, d: str) -> DataFrame:
-    return lexical.top_k(lexical.raw_tf(lexical.query_terms(tb.search_queries(spark, d)), _index(spark, d)), 10)
+    return lexical.search(tb.search_queries(spark, d), tb.passages(spark, d).select("unit_id", "text"), 10, score="raw_tf")
+
+
+@query(f"WITH {tb.index_sql(10)} SELECT query_id, unit_id, score, rank FROM lex")
+def bm25_by_join(spark: SparkSession, d: str) -> DataFrame:
+    """The same through a stored index: query terms joined with postings, for indexes that outlive a query set."""
+    return lexical.top_k(lexical.bm25(lexical.query_terms(tb.search_queries(spark, d)), _index(spark, d)), 10)
 
 
 @query(f"WITH {tb.index_sql()} SELECT unit_id, term, round((1.0 + ln(tf)) * (ln((1.0 + n) / (1.0 + df)) + 1.0), 6) AS weight FROM post JOIN df USING (term), n WHERE df >= 2")

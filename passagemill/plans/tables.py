@@ -7,18 +7,20 @@ from pyspark.sql import functions as F
 
 from passagemill.functions.text import STOPWORDS, indexable_text
 from passagemill.operators.orphans import clean_id
-from passagemill.session import read
+from passagemill.session import read, spread
 
 
 def passages(spark: SparkSession, d: str) -> DataFrame:
     """unit_id, doc_id, doc_type, title, section, ordinal, body, text (indexable), start_char, end_char: each chunk once."""
-    c = read(spark, d, "chunks").select("chunk_id", "doc_id", "doc_type", "title", "section", "ordinal", "text", "start_char", "end_char").distinct()
+    c = read(spark, d, "chunks").select("chunk_id", "doc_id", "doc_type", "title", "section", "ordinal", "text", "start_char", "end_char")
+    c = spread(c, "chunk_id").distinct()
     return c.select(F.col("chunk_id").alias("unit_id"), clean_id(F.col("doc_id")).alias("doc_id"), "doc_type", "title", "section", "ordinal", F.col("text").alias("body"), indexable_text(F.col("title"), F.col("section"), F.col("text")).alias("text"), "start_char", "end_char")
 
 
 def vectors(spark: SparkSession, d: str) -> DataFrame:
     """unit_id, doc_id, doc_type, embedding of every chunk with one."""
-    c = read(spark, d, "chunks").where(F.col("embedding").isNotNull()).select("chunk_id", "doc_id", "doc_type", "embedding").distinct()
+    c = read(spark, d, "chunks").where(F.col("embedding").isNotNull()).select("chunk_id", "doc_id", "doc_type", "embedding")
+    c = spread(c, "chunk_id").distinct()
     return c.select(F.col("chunk_id").alias("unit_id"), clean_id(F.col("doc_id")).alias("doc_id"), "doc_type", "embedding")
 
 

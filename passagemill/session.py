@@ -16,6 +16,23 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def widen(df: DataFrame) -> DataFrame:
+    """``df`` over all cores if its files give fewer than half as many partitions; select what is needed first.
+
+    Only small inputs have so few partitions, so only they are moved.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if 2 * df._jdf.rdd().getNumPartitions() < cores else df
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """``df`` hashed by ``key`` into the session's shuffle partitions, which AQE then leaves as they are.
+
+    For stages that cost more CPU than bytes: a later ``distinct`` or aggregate by ``key`` needs no shuffle of its own.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: the session's ``spark.checkpoint.dir``.
 
