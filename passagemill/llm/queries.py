@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from passagemill.llm import borda, distinctive, leakage, neighbours, overlap, splitting, subjects, tokenizer
 from passagemill.operators.orphans import clean_id
-from passagemill.session import read
+from passagemill.session import read, widen
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -197,14 +197,14 @@ SELECT train_id, eval_id, round(common / (x.n + y.n - common), 6) AS coverage FR
 
 @query
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
-    return tokenizer.encode_corpus(read(spark, d, "documents"))
+    return tokenizer.encode_corpus(widen(read(spark, d, "documents").select("doc_id", "text")))
 
 
 # 9. Evaluation texts leaking into training text
 
 
 def _leaks(spark: SparkSession, d: str) -> DataFrame:
-    return leakage.find_leaks(read(spark, d, "documents"), read(spark, d, "eval_items"))
+    return leakage.find_leaks(widen(read(spark, d, "documents").select("doc_id", "text")), read(spark, d, "eval_items"))
 
 
 @query
@@ -222,8 +222,8 @@ def p9_report(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _mixtures(spark: SparkSession, d: str) -> DataFrame:
-    documents = read(spark, d, "documents")
-    return subjects.mixtures(documents, subjects.fit(documents, read(spark, d, "subject_labels")))
+    documents = read(spark, d, "documents").select("doc_id", "text", "lang")
+    return subjects.mixtures(widen(documents.select("doc_id", "text")), subjects.fit(documents, read(spark, d, "subject_labels")))
 
 
 @query
