@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from passagemill.functions.text import is_rare_literal, tokenize
+from passagemill.session import spread
 
 # Sections that tend to carry a document's claim.
 THESIS_SECTIONS = ("abstract", "specific aims", "discussion", "results")
@@ -29,15 +30,20 @@ def coverage(query: Column, tokens: Column) -> Column:
     return F.when(F.size(wanted) > 0, F.size(F.array_intersect(wanted, tokens)) / F.size(wanted)).otherwise(0.0)
 
 
-def proximity(query: Column, tokens: Column) -> Column:
+def matched(query: Column, tokens: Column) -> Column:
+    """(i, t) of the tokens that are query tokens, in order."""
+    return F.filter(F.transform(tokens, lambda t, i: F.struct(i.alias("i"), t.alias("t"))), lambda h: F.array_contains(query, h["t"]))
+
+
+def proximity(hits: Column, terms: Column) -> Column:
     """Matched terms over the smallest window holding one of each; 0 below two matched terms.
 
-    For every hit the window ending there starts at the earliest of the terms' latest places so far.
+    ``hits`` are the matched tokens and ``terms`` their distinct words, as columns of their own, so that they are
+    worked out once a row. For every hit the window ending there starts at the earliest of the terms' latest places.
     """
-    hits = F.filter(F.transform(tokens, lambda t, i: F.struct(i.alias("i"), t.alias("t"))), lambda h: F.array_contains(query, h["t"]))
-    terms = F.array_distinct(F.transform(hits, lambda h: h["t"]))
     latest = lambda r: F.transform(terms, lambda t: F.array_max(F.transform(F.filter(hits, lambda h: (h["t"] == t) & (h["i"] <= r["i"])), lambda h: h["i"])))
-    spans = F.transform(hits, lambda r: F.when(F.exists(latest(r), lambda p: p.isNull()), F.lit(None).cast("int")).otherwise(r["i"] - F.array_min(latest(r)) + 1))
+    start = lambda r: F.aggregate(latest(r), r["i"], lambda s, p: F.when(p.isNull() | s.isNull(), F.lit(None).cast("int")).otherwise(F.least(s, p)))
+    spans = F.transform(hits, lambda r: r["i"] - start(r) + 1)
     need = F.size(terms)
     return F.when(need >= 2, need / F.greatest(F.array_min(spans), need)).otherwise(0.0)
 
@@ -59,13 +65,15 @@ def literal_hits(query: Column, tokens: Column) -> Column:
 def features(pairs: DataFrame) -> DataFrame:
     """``pairs`` (query, text, section) with the five features. Tokens are taken once per row."""
     p = pairs.withColumn("_q", tokenize(F.col("query"))).withColumn("_d", tokenize(F.col("text")))
+    p = p.withColumn("_hits", matched(F.col("_q"), F.col("_d")))
+    p = p.withColumn("_terms", F.array_distinct(F.transform("_hits", lambda h: h["t"])))
     q, d = F.col("_q"), F.col("_d")
     section = F.when(F.lower(F.trim("section")).isin(*THESIS_SECTIONS), 1.0).otherwise(0.0)
     six = lambda c: F.round(c, 6)
     return p.select(
         *pairs.columns,
         six(coverage(q, d)).alias("coverage"),
-        six(proximity(q, d)).alias("proximity"),
+        six(proximity(F.col("_hits"), F.col("_terms"))).alias("proximity"),
         six(phrase(q, F.col("text"))).alias("phrase"),
         six(literal_hits(q, d)).alias("literal"),
         section.alias("thesis"),
@@ -79,7 +87,7 @@ def rerank(run: DataFrame, queries: DataFrame, units: DataFrame, depth: int = 10
     """
     head = run.where(F.col("rank") <= depth).join(queries.select("query_id", "query"), "query_id").join(units.select("unit_id", "text", "section"), "unit_id")
     n = F.count(F.lit(1)).over(Window.partitionBy("query_id"))
-    f = features(head.withColumn("_n", n))
+    f = features(spread(head, "query_id").withColumn("_n", n))  # few bytes but much work a row
     w = weights
     score = (
         F.lit(w.base) * (F.col("_n") - F.col("rank") + 1) / F.col("_n")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from passagemill.functions import text as tx
 from passagemill.operators import dense, fusion, lexical, rerank
 from passagemill.plans import tables as tb
-from passagemill.session import read
+from passagemill.session import read, spread
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -325,7 +325,7 @@ f AS (SELECT query_id, unit_id, rank, section,
 
 @query(f"WITH {_FEATURES} SELECT query_id, unit_id, coverage, proximity, phrase, literal, thesis FROM f")
 def rerank_features(spark: SparkSession, d: str) -> DataFrame:
-    return rerank.features(_pairs(spark, d)).select("query_id", "unit_id", "coverage", "proximity", "phrase", "literal", "thesis")
+    return rerank.features(spread(_pairs(spark, d), "query_id")).select("query_id", "unit_id", "coverage", "proximity", "phrase", "literal", "thesis")
 
 
 @query(f"""WITH {_FEATURES}, h AS (SELECT *, count(*) OVER (PARTITION BY query_id) AS n FROM f WHERE rank <= 10),
