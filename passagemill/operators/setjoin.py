@@ -16,7 +16,7 @@ def rarest(rows: DataFrame, owner: list[str], member: str, needed: Column) -> Da
     having the member; as that is its number of rows, hot members are known from the counts.
     """
     df = rows.groupBy(member).agg(F.count(F.lit(1)).alias("_df"))
-    total = rows.count()
+    total = df.agg(F.coalesce(F.sum("_df"), F.lit(0))).first()[0]
     hot = [r[0] for r in df.where((F.col("_df") >= LEAST_ROWS) & (F.col("_df") > SHARE * total)).select(member).collect()] if total >= LEAST_ROWS else []
     ranked = salted_join(rows, df, member, hot, F.struct(*owner))
     w = Window.partitionBy(*owner).orderBy("_df", member)
