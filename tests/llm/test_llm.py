@@ -204,6 +204,7 @@ def test_encoding_against_two_libraries(spark):
     tk = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
     for i, text in enumerate(TEXTS):
         assert got[i] == (t.encode(text, add_special_tokens=False).ids if text else [])
+        assert got[i] == (tk.encode_ordinary(text) if text else [])
         assert b"".join(tk.decode_single_token_bytes(x) for x in got[i]).decode() == (text or "")
     assert len(got) == len(TEXTS)
 
