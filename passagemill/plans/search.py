@@ -346,7 +346,7 @@ _HYBRID = f"""{tb.index_sql(50)}, {tb.DENSE}, fused AS (SELECT query_id, unit_id
 best AS (SELECT * FROM (SELECT query_id, doc_id, unit_id, f.score, lex_rank, dense_rank, section, start_char, end_char, row_number() OVER (PARTITION BY query_id, doc_id ORDER BY f.score DESC, unit_id) AS r FROM fused f JOIN p USING (unit_id) WHERE doc_id IS NOT NULL) WHERE r = 1)"""
 
 
-def hybrid(spark: SparkSession, d: str, arm_k: int = 50) -> DataFrame:
+def hybrid(spark: SparkSession, d: str, arm_k: int = 200) -> DataFrame:
     """query_id, doc_id, unit_id, score, lex_rank, dense_rank, section, start_char, end_char, rank of the fused documents."""
     arms = [_lexical(spark, d, arm_k).withColumn("arm", F.lit("lex")), _dense(spark, d, arm_k).withColumn("arm", F.lit("dense"))]
     both = arms[0].select("query_id", "unit_id", "rank", "arm").unionByName(arms[1].select("query_id", "unit_id", "rank", "arm"))
