@@ -334,8 +334,8 @@ fl AS (SELECT query_id, min(score) AS low FROM s GROUP BY 1),
 u AS (SELECT * FROM s UNION ALL SELECT query_id, unit_id, round(low - 1e-6 * (rank - 10), 6) FROM a JOIN fl USING (query_id) WHERE rank > 10)
 SELECT query_id, unit_id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, unit_id) AS INTEGER) AS rank FROM u""")
 def reranked(spark: SparkSession, d: str) -> DataFrame:
-    """The first ten candidates rescored by features, the rest in order below."""
-    return rerank.rerank(_run(spark, d, "base").select("query_id", "unit_id", "rank"), tb.search_queries(spark, d), tb.passages(spark, d), 10)
+    """The first hundred candidates rescored by features, the rest in order below."""
+    return rerank.rerank(_run(spark, d, "base").select("query_id", "unit_id", "rank"), tb.search_queries(spark, d), tb.passages(spark, d))
 
 
 # the whole search
