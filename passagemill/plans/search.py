@@ -190,7 +190,7 @@ def discriminant_axes(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def lsa_vectors(spark: SparkSession, d: str) -> DataFrame:
     """Passages in the space of the first singular directions of their weighted terms."""
-    return dense.lsa(lexical.tfidf(_index(spark, d), 2), 32, 1000)
+    return dense.lsa(lexical.tfidf(_index(spark, d)))
 
 
 @query("""WITH x AS (SELECT DISTINCT chunk_id, lower(trim(term)) AS term FROM chunk_terms WHERE tf >= 1 AND trim(term) <> ''),
