@@ -160,7 +160,60 @@ def test_overlap_words():
     assert all(overlap.compare(a, f(t)) is not None for t in same) and all(overlap.compare(a, f(t)) is None for t in other)
     assert overlap.fold(None) == [] and overlap.fold(" .!? ") == [] and overlap.compare([], a) is None
     long = f("word ".join(f"w{i} text here " for i in range(800)))
-    assert overlap.compare(long, long) == 1.0
+    assert overlap.compare(long, long) == (1.0, [])
+
+
+SAME = [
+    ("PD-L1 expression predicts response in melanoma", "PDL1 expression predicts response in melanoma"),
+    ("Patients received 5 mg of the drug daily for weeks", "Patients received 5mg of drug daily for weeks"),
+    ("Twelve percent of the patients relapsed within a year", "12 per cent of patients relapsed within a year"),
+    ("Tumour haemorrhage followed oesophageal surgery in centres", "Tumor hemorrhage followed esophageal surgery in centers"),
+    ("KRAS was silenced for at least 9 hours", "In brief, kras was silenced for no less than 9 hours (ref. 4)"),
+]
+OTHER = [
+    ("KRAS mutation predicts poor survival in breast carcinoma", "NRAS mutation predicts poor survival in breast carcinoma"),
+    ("EGFR inhibition reduced growth of breast tumours in 12 patients", "MTOR inhibition reduced growth of breast tumours in 12 patients"),
+    ("Screening lowered mortality of breast cancer in 40 trials", "Screening lowered mortality of lung cancer in 40 trials"),
+    ("The incidence of leukemia rose after treatment in adults", "The incidence of asthma rose after treatment in adults"),
+    ("Low dose aspirin reduced stroke in older adults", "Low dose warfarin reduced stroke in older adults"),
+    ("Twelve percent of the patients relapsed within a year", "Thirteen percent of the patients relapsed within a year"),
+    ("Treatment did reduce mortality in patients", "Treatment did not reduce mortality in patients"),
+    ("white matter lesions grew over time", "grey matter lesions grew over time"),
+    ("survival after breast cancer improved", "survival after metastatic breast cancer improved"),
+]
+
+
+def test_other_names_are_other_statements(spark):
+    f = overlap.fold
+    assert all(overlap.compare(f(a), f(b)) and overlap.compare(f(b), f(a)) for a, b in SAME)
+    assert not any(overlap.compare(f(a), f(b)) or overlap.compare(f(b), f(a)) for a, b in OTHER)
+    rows = [row for n, (a, b) in enumerate(SAME + OTHER) for row in ((f"t{n}", "train", a), (f"e{n}", "eval", b))]
+    got = {(r["left"], r["right"]) for r in overlap.text_overlaps(spark.createDataFrame(rows, "record string, side string, text string")).collect()}
+    assert {(f"t{n}", f"e{n}") for n in range(len(SAME))} <= got and not any((f"t{n}", f"e{n}") in got for n in range(len(SAME), len(SAME + OTHER)))
+
+
+def test_words_known_to_the_collection_are_no_slips(spark):
+    """Two names a letter apart that many texts hold are two names; a form that one text holds is a slip."""
+    rows = [(f"x{i}", "train", f"note {w} on {name}") for i, (w, name) in enumerate((w, name) for w in ("early", "later", "second") for name in ("nibrimamab", "nibramamab"))]
+    rows += [("t", "train", "response to nibrimamab was lasting"), ("e", "eval", "response to nibramamab was lasting"), ("s", "eval", "response to nibrimumab was lasting")]
+    got = {(r["left"], r["right"]) for r in overlap.text_overlaps(spark.createDataFrame(rows, "record string, side string, text string")).collect()}
+    assert ("t", "s") in got and ("t", "e") not in got
+
+
+def test_alignment_is_a_longest_common_subsequence(monkeypatch):
+    rng = random.Random(0)
+    match = {"a": ["a", "b"], "b": ["b", "a"], "c": ["c"], "d": ["d", "c"]}
+    monkeypatch.setattr(overlap, "ROWS", 4)
+    for _ in range(300):
+        a, b = ([rng.choice("abcd") for _ in range(rng.randrange(14))] for _ in range(2))
+        best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, u in enumerate(a):
+            for j, v in enumerate(b):
+                best[i + 1][j + 1] = best[i][j] + 1 if v in match[u] else max(best[i][j + 1], best[i + 1][j])
+        got = overlap.common(a, b, match)
+        assert len(got) == best[-1][-1] and all(b[j] in match[a[i]] for i, j in got) and all(p < r and q < s for (p, q), (r, s) in zip(got, got[1:]))
+    x = [f"w{rng.randrange(40)}" for _ in range(6000)]
+    assert len(overlap.align(x, x[:3000] + ["other"] * 50 + x[3000:])) == 6000
 
 
 def test_shared_stretches_share_a_print():
