@@ -13,6 +13,7 @@ Defined results
 * a bare object counts as position 0; a wrapper object (one key, a known wrapper name) does not show in the path;
 * payloads that are null, empty, cut off or no JSON object give no node;
 * elements that are no objects (numbers, strings) keep their ordinal and give no node;
+* a naming field that is a list or an object counts as absent;
 * repeated records count once; a null record id is kept as null;
 * extra columns of the input are ignored.
 """
@@ -20,6 +21,7 @@ Defined results
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -33,6 +35,9 @@ BELOW = {"mesh": {"qualifiers": "name"}, "full_text_sections": {"sections": "nam
 #: A list may be wrapped in an object with one of these as its only key.
 WRAPPERS = ("meshHeading", "grant", "section", "qualifier")
 
+#: Characters of nodes that are written as one batch.
+BATCH_CHARS = 8_000_000
+
 NODE_SCHEMA = T.StructType(
     [
         T.StructField("record_id", T.LongType()),
@@ -114,20 +119,93 @@ def _text(value: object) -> str | None:
         return value
     if isinstance(value, bool):
         return "true" if value else "false"
-    return json.dumps(value, ensure_ascii=False)
+    if isinstance(value, (int, float)):
+        return json.dumps(value)
+    return json.dumps(value, ensure_ascii=False) if not isinstance(value, (list, dict)) else None
 
 
 def _constant(name: str) -> None:
     raise ValueError(f"{name} is no JSON")
 
 
+_SKIP = re.compile(r"[ \t\r\n]*")
+_STRING = re.compile(r'"(?:[^"\\\x00-\x1f]|\\(?:["\\/bfnrt]|u[0-9a-fA-F]{4}))*"')
+_ATOM = re.compile(r"-?(?:0|[1-9][0-9]*)(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?|true|false|null")
+
+
+def parse(text: str) -> object:
+    """JSON of any depth: one pass over the tokens with the open lists and objects on a stack of its own.
+
+    For payloads nested deeper than the standard parser recurses. Strings and numbers are read as it reads them.
+    """
+    skip = lambda at: _SKIP.match(text, at).end()
+
+    def string(at: int) -> tuple[str, int]:
+        m = _STRING.match(text, at)
+        if not m:
+            raise ValueError(f"no string at {at}")
+        return json.loads(m.group()), m.end()
+
+    root: list = []
+    open_: list[tuple[object, str | None]] = [(root, None)]  # (container, key under which its next value goes)
+    at, n = skip(0), len(text)
+    while True:
+        into, key = open_[-1]
+        c = text[at : at + 1]
+        if c in ("{", "["):
+            value: object = {} if c == "{" else []
+            closed = skip(at + 1)
+            if text[closed : closed + 1] == ("}" if c == "{" else "]"):
+                at, fresh = closed + 1, False
+            else:
+                at, fresh = closed, True
+        elif c == '"':
+            value, at = string(at)
+            fresh = False
+        else:
+            m = _ATOM.match(text, at)
+            if not m:
+                raise ValueError(f"no value at {at}")
+            value, at, fresh = json.loads(m.group()), m.end(), False
+        if isinstance(into, list):
+            into.append(value)
+        else:
+            into[key] = value
+        if fresh:
+            open_.append((value, None))
+        else:
+            at = skip(at)
+            while len(open_) > 1 and text[at : at + 1] == ("}" if isinstance(open_[-1][0], dict) else "]"):
+                open_.pop()
+                at = skip(at + 1)
+            if len(open_) == 1:
+                if at != n:
+                    raise ValueError(f"more at {at}")
+                return root[0]
+            if text[at : at + 1] != ",":
+                raise ValueError(f"no comma at {at}")
+            at = skip(at + 1)
+        if isinstance(open_[-1][0], dict):
+            name, at = string(at)
+            at = skip(at)
+            if text[at : at + 1] != ":":
+                raise ValueError(f"no colon at {at}")
+            open_[-1] = (open_[-1][0], name)
+            at = skip(at + 1)
+
+
 def payload_nodes(payload: str | None, with_fields: bool = True) -> Iterator[tuple[str, str, str, list | None]]:
-    """(kind, path, item_key, fields) of every object in one payload; an explicit stack, so any depth works."""
+    """(kind, path, item_key, fields) of every object in one payload; explicit stacks, so any depth works."""
     if not payload or not payload.strip():
         return
     try:
         record = json.loads(payload, parse_constant=_constant)
-    except (ValueError, RecursionError):
+    except RecursionError:
+        try:
+            record = parse(payload)
+        except ValueError:
+            return
+    except ValueError:
         return
     if not isinstance(record, dict):
         return
@@ -152,13 +230,16 @@ def raw_nodes(raw: DataFrame, with_fields: bool = True) -> DataFrame:
         for batch in batches:
             ids, rows = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             out: list[list] = [[], [], [], [], []]
+            held = 0
             for rid, payload in zip(ids, rows):
                 for node in payload_nodes(payload, with_fields):
                     for column, value in zip(out, (rid, *node)):
                         column.append(value)
-                if len(out[0]) >= 20_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(out, _ARROW)], schema=_ARROW)
-                    out = [[], [], [], [], []]
+                    # labels of deep nodes are long, so a batch is bounded by its characters
+                    held += len(node[1]) + len(node[2]) + sum(len(v or "") for _, v in node[3] or ()) + 64
+                    if held >= BATCH_CHARS:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(out, _ARROW)], schema=_ARROW)
+                        out, held = [[], [], [], [], []], 0
             yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(out, _ARROW)], schema=_ARROW)
 
     return raw.select(F.col("record_id").cast("long"), F.col("payload").cast("string")).mapInArrow(parse, NODE_SCHEMA)
@@ -175,7 +256,9 @@ def flatten(records: DataFrame | None, raw: DataFrame | None, with_fields: bool
     if records is not None:
         parts.append(typed_nodes(records, with_fields))
     if raw is not None:
-        parts.append(raw_nodes(raw, with_fields))
+        # with fields the texts are shuffled anyway, so the same payload received again is left out before it is
+        # parsed; without them it is cheaper to shuffle the short labels than the payloads
+        parts.append(raw_nodes(raw.select("record_id", "payload").distinct() if with_fields else raw, with_fields))
     nodes = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
     if with_fields:
         same = F.xxhash64(F.to_json("fields"))

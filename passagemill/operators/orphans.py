@@ -22,11 +22,12 @@ from passagemill.operators.skew import hot_keys, salted_join
 MATCHES = ("simple", "full", "partial")
 
 
-def orphans(refs: DataFrame, targets: DataFrame, keys: list[str], match: str = "simple", target_keys: list[str] | None = None) -> DataFrame:
+def orphans(refs: DataFrame, targets: DataFrame, keys: list[str], match: str = "simple", target_keys: list[str] | None = None, hot: dict[str, DataFrame | None] | None = None) -> DataFrame:
     """Rows of ``refs`` whose key has no target, with ``null_mask`` ('01' = second column null) added.
 
     Repeated rows are kept as they are; null keys never join; empty tables give an empty result or, for an empty
-    target table, every reference that the match semantics requires to hold.
+    target table, every reference that the match semantics requires to hold. Hot keys of every mask are salted;
+    ``hot`` gives them by mask where they are known already.
     """
     if match not in MATCHES:
         raise ValueError(f"match must be one of {MATCHES}")
@@ -44,10 +45,9 @@ def orphans(refs: DataFrame, targets: DataFrame, keys: list[str], match: str = "
             parts.append(mine)
             continue
         there = targets.select(*[F.col(t).alias(k) for k, t in zip(keys, target_keys) if k in live]).dropna().distinct()
-        if len(live) == 1:
-            parts.append(salted_join(mine, there, live[0], hot_keys(mine, live[0]), F.struct(*[F.col(c) for c in refs.columns if c != live[0]]) if len(refs.columns) > 1 else F.monotonically_increasing_id(), "left_anti").select(*marked.columns))
-        else:
-            parts.append(mine.join(there, live, "left_anti").select(*marked.columns))
+        varying = [F.col(c) for c in refs.columns if c not in live] or [F.monotonically_increasing_id()]
+        own = hot[word] if hot is not None and word in hot else hot_keys(mine, live)
+        parts.append(salted_join(mine, there, live, own, F.struct(*varying), "left_anti").select(*marked.columns))
     if not parts:
         return marked.limit(0)
     out = parts[0]
@@ -78,9 +78,9 @@ def absent_at(refs: DataFrame, targets: DataFrame) -> DataFrame:
     keyed = refs.select("ref_field", "row_key", clean_id(F.col("doc_id")).alias("doc_id"), "at").distinct()
     lives = targets.select(clean_id(F.col("doc_id")).alias("doc_id"), "added_at", "deleted_at").where(F.col("doc_id").isNotNull()).distinct()
     known_ids = lives
-    unknown = orphans(keyed, lives, ["doc_id"], "simple").select("ref_field", "row_key", "at", F.lit("missing").alias("reason"))
+    hot = hot_keys(keyed, "doc_id")
+    unknown = orphans(keyed, lives, ["doc_id"], "simple", hot={"0": hot}).select("ref_field", "row_key", "at", F.lit("missing").alias("reason"))
     dated = keyed.where(F.col("doc_id").isNotNull() & F.col("at").isNotNull())
-    hot = hot_keys(dated, "doc_id")
     spread = F.struct("ref_field", "row_key")
     lives = lives.where(F.col("added_at").isNotNull())
     present = (F.col("added_at") <= F.col("at")) & (F.col("deleted_at").isNull() | (F.col("deleted_at") > F.col("at")))

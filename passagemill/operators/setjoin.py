@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from passagemill.operators.skew import LEAST_ROWS, SHARE, salted_join
+from passagemill.operators.skew import hot_of, salted_join
 from passagemill.session import cut_lineage, release
 
 
@@ -16,8 +16,7 @@ def rarest(rows: DataFrame, owner: list[str], member: str, needed: Column) -> Da
     having the member; as that is its number of rows, hot members are known from the counts.
     """
     df = rows.groupBy(member).agg(F.count(F.lit(1)).alias("_df"))
-    total = df.agg(F.coalesce(F.sum("_df"), F.lit(0))).first()[0]
-    hot = [r[0] for r in df.where((F.col("_df") >= LEAST_ROWS) & (F.col("_df") > SHARE * total)).select(member).collect()] if total >= LEAST_ROWS else []
+    hot = hot_of(df, member, "_df")
     ranked = salted_join(rows, df, member, hot, F.struct(*owner))
     w = Window.partitionBy(*owner).orderBy("_df", member)
     return ranked.withColumn("_place", F.row_number().over(w)).where(F.col("_place") <= F.col("n") - needed + 1).drop("_place", "_df")
@@ -55,16 +54,18 @@ def components(nodes: DataFrame, links: DataFrame, rounds: int = 60) -> DataFram
     Each round every label hooks onto its neighbour of least hash, chains of hooks are shortened by pointer jumping,
     and the links are rewritten between the labels that are left, so their number falls by a factor each round whatever
     the shape of the graph. Labels and links stay distributed; each round is written to the shared folder, and only
-    whether links are left comes back to the driver.
+    whether links are left comes back to the driver. Raises if links are left after ``rounds`` rounds.
     """
     own = nodes.select("node").distinct()
     pairs = links.select(F.col("left").alias("a"), F.col("right").alias("b")).where("a <> b")
     edges = cut_lineage(pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     labels = own.select("node", F.col("node").alias("label"))
     order = lambda c: F.struct(F.xxhash64(c).alias("h"), F.col(c).alias("l"))
-    for _ in range(rounds):
+    for at in range(rounds + 1):
         if not edges.limit(1).count():
             break
+        if at == rounds:
+            raise RuntimeError(f"links are left after {rounds} rounds")
         hook = edges.groupBy("a").agg(F.least(F.min(order("b")), F.min(order("a"))).alias("m")).select("a", F.col("m.l").alias("to"))
         for _ in range(3):
             far = hook.select(F.col("a").alias("_a"), F.col("to").alias("_to"))

@@ -1,55 +1,77 @@
 """Joins and groupings that hold when one key owns a third of all rows.
 
-``hot_keys`` is the only place a key list reaches the driver. A key counts as hot if it owns more than
-``share`` of the rows, so at most ``1 / share`` keys can be hot whatever the table size.
+A key is hot by the number of its rows alone: one that owns ``LEAST_ROWS`` or more is more than one task should take,
+however small its share of the table. Hot keys never become a list on the driver: they are a written table of at most
+``MOST_HOT`` rows (beyond that many the threshold rises to the table's rows / ``MOST_HOT``), broadcast where it marks
+rows. Each hot key is dealt into as many pieces as its rows need.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: A key with more than this share of all rows is hot; at most 1 / SHARE keys can be.
-SHARE = 0.005
-#: Groups below this many rows fit any task, so they are never treated as hot.
+from passagemill.session import cut_lineage
+
+#: Rows of one key that one task takes; keys with as many or more are hot.
 LEAST_ROWS = 200_000
-#: Pieces a hot key is split into.
-SALTS = 32
+#: Hot keys there can be: a bound of what is broadcast.
+MOST_HOT = 100_000
+#: Pieces a hot key is dealt into, at most.
+MAX_SALTS = 4096
+
 
+def hot_of(counts: DataFrame, keys: str | list[str], n: str = "n", least: int | None = None) -> DataFrame | None:
+    """The hot keys among ``counts`` (one row a key with its number of rows ``n``), with ``_salts``; None if there are none."""
+    keys = [keys] if isinstance(keys, str) else keys
+    least = least or LEAST_ROWS
+    big, total = counts.agg(F.count_if(F.col(n) >= least), F.sum(n)).first()
+    if not big:
+        return None
+    least = max(least, -(-total // MOST_HOT))
+    salts = F.least(F.lit(MAX_SALTS), F.ceil(F.col(n) / F.lit(least)).cast("int") + 1)
+    return cut_lineage(counts.where(F.col(n) >= least).select(*keys, F.col(n).alias("_rows"), salts.alias("_salts")))
 
-def hot_keys(df: DataFrame, key: str, share: float = SHARE, least: int = LEAST_ROWS) -> list:
-    """Values of ``key`` owning more than ``share`` of the rows and at least ``least`` rows.
 
-    One partially aggregated pass. The result has at most ``1 / share`` values; a null key is never hot.
+def hot_keys(df: DataFrame, keys: str | list[str], least: int | None = None) -> DataFrame | None:
+    """The keys of ``df`` with ``least`` rows or more: key columns, ``_rows``, ``_salts``; None if there are none.
+
+    One partially aggregated pass; keys with a null are never hot.
     """
-    counts = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("n"))
-    big = counts.where(F.col("n") >= least)
-    most = int(1 / share) + 1
-    rows = big.orderBy(F.desc("n"), key).limit(most).collect()
-    if not rows:
-        return []
-    total = df.count()
-    return [r[0] for r in rows if r[1] > share * total]
+    keys = [keys] if isinstance(keys, str) else keys
+    return hot_of(df.select(*keys).dropna().groupBy(*keys).agg(F.count(F.lit(1)).alias("n")), keys, "n", least)
+
+
+def _marked(df: DataFrame, keys: list[str], hot: DataFrame) -> DataFrame:
+    """``df`` with ``_salts``, null where the key is not hot."""
+    marks = hot.select(*[F.col(k).alias(f"_hot{i}") for i, k in enumerate(hot.columns[: len(keys)])], "_salts")
+    on = reduce(lambda a, b: a & b, [F.col(k) == F.col(f"_hot{i}") for i, k in enumerate(keys)])
+    return df.join(F.broadcast(marks), on, "left").drop(*[f"_hot{i}" for i in range(len(keys))])
 
 
-def salted_join(left: DataFrame, right: DataFrame, key: str, hot: list, spread: Column, how: str = "inner", condition: Column | None = None, salts: int = SALTS) -> DataFrame:
-    """``left JOIN right USING (key)`` with the rows of hot keys of ``left`` spread over ``salts`` tasks.
+def salted_join(left: DataFrame, right: DataFrame, keys: str | list[str], hot: DataFrame | None, spread: Column, how: str = "inner", condition: Column | None = None) -> DataFrame:
+    """``left JOIN right USING (keys)`` with the rows of hot keys of ``left`` spread over several tasks.
 
     ``spread`` is a column of ``left`` that varies within a key; ``condition`` may restrict the join further and
-    names columns that only one side has. The rows of ``right`` with a hot key are repeated ``salts`` times, all
-    others once. ``how`` is inner, left, left_semi or left_anti: each left row meets each right row of its key
+    names columns that only one side has. The rows of ``right`` with a hot key are repeated once per piece, all
+    others stay. ``how`` is inner, left, left_semi or left_anti: each left row meets each right row of its key
     exactly once, so all four keep their meaning.
     """
-    b = right.withColumnRenamed(key, "_key")
-    on = left[key] == b["_key"]
-    if hot:
-        is_hot = F.col(key).isin(hot)
-        left = left.withColumn("_salt", F.when(is_hot, F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int")).otherwise(F.lit(0)))
-        b = b.withColumn("_rsalt", F.explode(F.when(F.col("_key").isin(hot), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))))
-        on = (left[key] == b["_key"]) & (left["_salt"] == b["_rsalt"])
+    keys = [keys] if isinstance(keys, str) else keys
+    names = [f"_key{i}" for i in range(len(keys))]
+    b = right.withColumnsRenamed(dict(zip(keys, names)))
+    on = [F.col(k) == F.col(n) for k, n in zip(keys, names)]
+    if hot is not None:
+        left = _marked(left, keys, hot)
+        left = left.withColumn("_salt", F.coalesce(F.pmod(F.xxhash64(spread), F.col("_salts")).cast("int"), F.lit(0))).drop("_salts")
+        b = _marked(b, names, hot)
+        b = b.withColumn("_rsalt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_salts"), F.lit(1)) - 1))).drop("_salts")
+        on.append(F.col("_salt") == F.col("_rsalt"))
     if condition is not None:
-        on = on & condition
-    return left.join(b, on, how).drop("_salt", "_rsalt", "_key")
+        on.append(condition)
+    return left.join(b, reduce(lambda x, y: x & y, on), how).drop("_salt", "_rsalt", *names)
 
 
 def free_name(df: DataFrame, wanted: str) -> str:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
@@ -22,7 +23,7 @@ def widen(df: DataFrame) -> DataFrame:
     Only small inputs have so few partitions, so only they are moved.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if 2 * df._jdf.rdd().getNumPartitions() < cores else df
+    return df.repartition(cores) if 2 * df.rdd.getNumPartitions() < cores else df
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:
@@ -64,18 +65,41 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return out
 
 
+_kept: dict[str, SparkSession] = {}
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    jvm = spark.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(jvm.org.apache.hadoop.conf.Configuration() if spark.sparkContext._jsc is None else spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    _kept.pop(path, None)
+
+
+def clear_scratch() -> None:
+    """Delete every table written into the shared folder and not yet released. Results that were not yet read lose
+    their input, so call it between jobs; it also runs when the driver's interpreter ends."""
+    for path, spark in list(_kept.items()):
+        try:
+            _delete(spark, path)
+        except Exception:  # the session is gone, and with it the way to the folder
+            _kept.pop(path, None)
+
+
+atexit.register(clear_scratch)
+
+
 def release(df: DataFrame) -> None:
     """Delete the table behind a ``cut_lineage`` result that nothing will read again."""
     path = getattr(df, "_scratch", None)
     if path:
-        jvm = df.sparkSession.sparkContext._jvm
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+        _delete(df.sparkSession, path)
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path for a table written into the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A fresh path for a table written into the shared folder; ``clear_scratch`` deletes it."""
+    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _kept[path] = spark
+    return path
 
 
 _shipped: set[str] = set()

@@ -1,6 +1,7 @@
 import json
 from datetime import datetime
 
+import pytest
 from pyspark.sql import functions as F
 
 from passagemill.operators import nested, orphans, setjoin, skew
@@ -9,16 +10,35 @@ from passagemill.operators import nested, orphans, setjoin, skew
 def test_salted_join_keeps_every_kind_of_join(spark):
     left = spark.createDataFrame([("h", i) for i in range(40)] + [("a", 100), ("z", 101), (None, 102)], "k string, v int")
     right = spark.createDataFrame([("h", 1), ("h", 2), ("a", 3)], "k string, w int")
-    assert skew.hot_keys(left, "k", share=0.5, least=10) == ["h"]
-    assert skew.hot_keys(left.limit(0), "k", least=1) == []
+    hot = skew.hot_keys(left, "k", least=10)
+    assert [(r["k"], r["_rows"], r["_salts"]) for r in hot.collect()] == [("h", 40, 5)]
+    assert skew.hot_keys(left.limit(0), "k", least=1) is None and skew.hot_keys(left, "k") is None
     for how in ("inner", "left", "left_semi", "left_anti"):
         plain = sorted(map(str, left.join(right, "k", how).select("k", "v").collect()))
-        salted = sorted(map(str, skew.salted_join(left, right, "k", ["h"], F.col("v"), how, salts=4).select("k", "v").collect()))
+        salted = sorted(map(str, skew.salted_join(left, right, "k", hot, F.col("v"), how).select("k", "v").collect()))
         assert plain == salted, how
-    cond = skew.salted_join(left, right, "k", ["h"], F.col("v"), "left_anti", F.col("w") > F.col("v"), salts=4)
+    cond = skew.salted_join(left, right, "k", hot, F.col("v"), "left_anti", F.col("w") > F.col("v"))
     assert {r["v"] for r in cond.where("k = 'h'").collect()} == set(range(2, 40))
 
 
+def test_keys_are_hot_by_their_rows_not_their_share(spark, monkeypatch):
+    """A key of a thousandth of the rows is hot if a task should not take its rows; the list of hot keys is bounded."""
+    rows = spark.range(20_000).select(F.when(F.col("id") < 20, F.lit("big")).otherwise(F.concat(F.lit("k"), F.col("id"))).alias("k"), F.col("id").alias("v"))
+    assert [r["k"] for r in skew.hot_keys(rows, "k", least=15).collect()] == ["big"]
+    right = spark.createDataFrame([("big", 1), ("k77", 2)], "k string, w int")
+    assert skew.salted_join(rows, right, "k", skew.hot_keys(rows, "k", least=15), F.col("v")).count() == 21
+    monkeypatch.setattr(skew, "MOST_HOT", 10)
+    assert skew.hot_keys(rows, "k", least=1) is None or skew.hot_keys(rows, "k", least=1).count() <= 10
+
+
+def test_salted_join_on_composite_keys(spark):
+    left = spark.createDataFrame([("h", 1, i) for i in range(30)] + [("h", 2, 99), ("h", None, 98)], "a string, b int, v int")
+    right = spark.createDataFrame([("h", 1), ("x", 2)], "a string, b int")
+    hot = skew.hot_keys(left, ["a", "b"], least=10)
+    assert skew.salted_join(left, right, ["a", "b"], hot, F.col("v")).count() == 30
+    assert {r["v"] for r in skew.salted_join(left, right, ["a", "b"], hot, F.col("v"), "left_anti").collect()} == {98, 99}
+
+
 def test_nested_payload_shapes():
     record = {
         "mesh": {"meshHeading": [{"descriptor": "A", "qualifiers": {"name": "q", "major": "Y"}}, None, {"descriptor": None}]},
@@ -41,6 +61,33 @@ def test_nested_any_depth():
     assert len(list(nested.payload_nodes(json.dumps({"full_text_sections": [node]})))) == 401
 
 
+def test_nested_twenty_thousand_levels():
+    """Deeper than the standard parser goes; cut off anywhere, such a payload is no JSON and gives no node."""
+    deep = '{"name": "n\\u00e9", "text": "a \\"b\\" [ } c", "x": -1.5e3, "sections": [' * 20_000 + '{"name": "leaf", "y": [true, null, {}]}' + "]}" * 20_000
+    payload = '{"mesh": [], "full_text_sections": [' + deep + "]}"
+    n = last = 0
+    for _, path, _, _ in nested.payload_nodes(payload, False):
+        n, last = n + 1, path
+    assert n == 20_001 and last.count("sections/") == 20_001
+    assert list(nested.payload_nodes(payload[:-1])) == [] and list(nested.payload_nodes(payload + "x")) == []
+
+
+def test_deep_payloads_in_a_table(spark, monkeypatch):
+    deep = '{"full_text_sections": ' + '{"name": "n", "sections": [' * 3000 + '{"name": "leaf"}' + "]}" * 3000 + "}"
+    nodes = nested.flatten(None, spark.createDataFrame([(1, deep), (1, deep), (2, deep[:-1])], "record_id long, payload string"), False)
+    assert [tuple(r) for r in nodes.groupBy("record_id").agg(F.count("*"), F.max(F.length("path"))).collect()] == [(1, 3001, 20 + 3000 * 11)]
+
+
+def test_own_parser_reads_json_as_the_standard_one():
+    good = ['{"a": [1, 2.5, -0, 1e5, "x\\n\\u00e9\\ud83d\\ude00", true, false, null, {}, []], "b": {"c": {"d": []}}}', " [ ] ", '"s"', "-12", '{"k": 1, "k": 2}', "[[[[]]]]", '"\\/"']
+    bad = ["", "{", "[1,]", '{"a" 1}', '{"a": 1,}', "[1 2]", "01", "+1", "nul", '"a', '"\n"', "{1: 2}", "[1]]", "NaN", '{"a":}', "1.", ".5", "tru", '["a":1]', "{]", '"\\x"', "--1", "1e"]
+    for text in good:
+        assert nested.parse(text) == json.loads(text), text
+    for text in bad:
+        with pytest.raises(ValueError):
+            nested.parse(text)
+
+
 def test_flatten_typed_and_raw(spark):
     ddl = "record_id long, mesh array<struct<descriptor:string,ui:string,major:boolean,qualifiers:array<struct<name:string,major:boolean>>>>, grants array<struct<grant_id:string,agency:string,acronym:string>>, full_text_sections array<struct<name:string,text:string>>, path string"
     row = (1, [("A", "u", True, [("q", None), None]), None], None, [("S", "text")], "clash")
@@ -87,3 +134,5 @@ def test_similar_sets_and_components(spark):
     comp = {r["node"]: r["component"] for r in setjoin.components(nodes, spark.createDataFrame(chain, "left string, right string")).collect()}
     assert comp["n050"] == "n000" and comp["alone"] == "alone" and len(comp) == 52
     assert setjoin.components(nodes, spark.createDataFrame([], "left string, right string")).where("node <> component").count() == 0
+    with pytest.raises(RuntimeError):
+        setjoin.components(nodes, spark.createDataFrame(chain, "left string, right string"), rounds=1)
