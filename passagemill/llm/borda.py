@@ -8,19 +8,22 @@ Defined results
 * null and NaN scores are missing; infinities are ordinary extreme values; a weight of 0 leaves a score out;
 * a group where a score is missing for all items gives all the middle rank;
 * repeated rows count once; of rows of one item that differ, each is ranked on its own;
-* a null group is a group of its own; empty input gives an empty result; extra columns are kept.
+* a null group is a group of its own (never a hot one); empty input gives an empty result; extra columns are kept.
 
 Groups of any size are ranked without gathering one in a task: see ``average_ranks``.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from passagemill.operators.skew import LEAST_ROWS, hot_keys, salted_join
+from passagemill.operators import skew
+from passagemill.operators.skew import hot_keys, salted_join
 
-#: A hot group is cut into about this many value ranges, each ranked in a task of its own.
+#: A hot group is cut into value ranges of about ``skew.LEAST_ROWS`` rows, each ranked in a task of its own; at most this many.
 BLOCKS = 256
 
 
@@ -35,17 +38,19 @@ def cosine(a: str, b: str):
 
 
 def average_ranks(items: DataFrame, group: str, item: str, scores: list[str]) -> DataFrame:
-    """For each score s: ``s_rank`` (ties averaged, missing at the middle) and ``s_above`` (items strictly higher).
+    """For each score s: ``s_rank`` (ties averaged, missing at the middle) and ``s_above`` (items strictly higher);
+    besides ``_n``, the size of the group, and ``_missing``, its items with a missing score.
 
     One window shuffle by group serves all scores. Groups too large for a task are cut by value instead: bounded
     quantile sketches give cut points, equal values stay in one block, and the counts of the blocks above are added
     to the ranks inside a block.
     """
-    hot = hot_keys(items, group, least=LEAST_ROWS)
-    is_hot = F.col(group).isin(hot) if hot else F.lit(False)
-    small = items.where(~F.coalesce(is_hot, F.lit(False))) if hot else items
+    hot = hot_keys(items, group)
+    marks = None if hot is None else F.broadcast(hot.select(F.col(group).alias("_g")))
+    small = items if hot is None else items.join(marks, items[group] == F.col("_g"), "left_anti")
     size = F.count(F.lit(1)).over(Window.partitionBy(group))
-    out = small.withColumn("_n", size)
+    missing = reduce(lambda x, y: x | y, [F.col(s).isNull() | F.isnan(F.col(s).cast("double")) for s in scores], F.lit(False))
+    out = small.withColumn("_n", size).withColumn("_missing", F.count_if(missing).over(Window.partitionBy(group)))
     for s in scores:
         value = F.when(~F.isnan(F.col(s).cast("double")), F.col(s))
         w = Window.partitionBy(group).orderBy(F.desc_nulls_last(s))
@@ -53,20 +58,26 @@ def average_ranks(items: DataFrame, group: str, item: str, scores: list[str]) ->
         out = out.withColumn(s, value).withColumn("_above", F.rank().over(w) - 1).withColumn("_ties", ties)
         out = out.withColumn(f"{s}_above", F.when(F.col(s).isNotNull(), F.col("_above")))
         out = out.withColumn(f"{s}_rank", F.when(F.col(s).isNotNull(), F.col("_above") + (F.col("_ties") + 1) / 2).otherwise((F.col("_n") + 1) / 2)).drop("_above", "_ties")
-    if hot:
-        out = out.unionByName(_hot_ranks(items.where(is_hot), group, item, scores))
+    if hot is not None:
+        out = out.unionByName(_hot_ranks(items, hot, group, scores, missing))
     return out
 
 
-def _hot_ranks(items: DataFrame, group: str, item: str, scores: list[str]) -> DataFrame:
-    sizes = items.groupBy(group).agg(F.count(F.lit(1)).alias("_n"))
-    out = items.join(F.broadcast(sizes), group)  # one row per hot group, at most 1 / SHARE of them
-    keys = [r[0] for r in sizes.select(group).collect()]
+def _hot_ranks(items: DataFrame, hot: DataFrame, group: str, scores: list[str], missing: Column) -> DataFrame:
+    """The ranks of the items of hot groups. Broadcast are the sizes and cut points of the hot groups: their number is
+    bounded, and a group has a cut point per ``skew.LEAST_ROWS`` of its rows, at most BLOCKS."""
+    sizes = hot.select(F.col(group).alias("_g"), F.col("_rows").alias("_n"))
+    short = items.groupBy(F.col(group).alias("_g")).agg(F.count_if(missing).alias("_missing"))
+    sizes = sizes.join(short, "_g")
+    out = items.join(F.broadcast(sizes), items[group] == F.col("_g")).drop("_g")
+    blocks = F.least(F.lit(BLOCKS), F.ceil(F.col("_n") / F.lit(skew.LEAST_ROWS)) + 1)
     for s in scores:
         out = out.withColumn(s, F.when(~F.isnan(F.col(s).cast("double")), F.col(s)))
-        values = out.where(F.col(s).isNotNull()).groupBy(group, s).agg(F.count(F.lit(1)).alias("_ties"))
-        cuts = values.groupBy(group).agg(F.percentile_approx(s, [i / BLOCKS for i in range(1, BLOCKS)], 10_000).alias("_cuts"))
-        blocked = values.join(F.broadcast(cuts), group).withColumn("_block", F.size(F.filter("_cuts", lambda c: c < F.col(s)))).drop("_cuts")
+        values = out.where(F.col(s).isNotNull()).groupBy(group, s).agg(F.count(F.lit(1)).alias("_ties"), F.first("_n").alias("_n"))
+        cuts = values.groupBy(group).agg(F.percentile_approx(s, [i / BLOCKS for i in range(1, BLOCKS)], 10_000).alias("_cuts"), F.first("_n").alias("_n"))
+        step = (F.lit(BLOCKS) / blocks).cast("int")
+        cuts = cuts.select(F.col(group).alias("_g"), F.filter("_cuts", lambda _, i: (i + 1) % step == 0).alias("_cuts"))
+        blocked = values.join(F.broadcast(cuts), F.col(group) == F.col("_g")).withColumn("_block", F.size(F.filter("_cuts", lambda c: c < F.col(s)))).drop("_cuts", "_g", "_n")
         totals = blocked.groupBy(group, "_block").agg(F.sum("_ties").alias("_in"))
         higher = F.coalesce(F.sum("_in").over(Window.partitionBy(group).orderBy(F.desc("_block")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
         offsets = totals.select(group, "_block", higher.alias("_higher"))
@@ -76,15 +87,16 @@ def _hot_ranks(items: DataFrame, group: str, item: str, scores: list[str]) -> Da
         out = out.join(ranked, (out[group] == ranked["_g"]) & (out[s] == ranked["_v"]), "left").drop("_g", "_v")
         out = out.withColumn(f"{s}_above", F.col("_above"))
         out = out.withColumn(f"{s}_rank", F.when(F.col("_above").isNotNull(), F.col("_above") + (F.col("_ties") + 1) / 2).otherwise((F.col("_n") + 1) / 2)).drop("_above", "_ties")
-    return out.where(F.col(group).isin(keys))
+    return out
 
 
-def borda(items: DataFrame, group: str, item: str, weights: dict[str, float]) -> DataFrame:
+def borda(items: DataFrame, group: str, item: str, weights: dict[str, float], keep_size: bool = False) -> DataFrame:
     """``items`` with rank, points and above-counts: column ``points``, ``<score>_rank``, ``<score>_above``."""
     scores = [s for s, w in weights.items() if w]
     ranked = average_ranks(items.distinct(), group, item, scores)
     points = sum((F.lit(float(weights[s])) * (F.col("_n") - F.col(f"{s}_rank")) for s in scores), F.lit(0.0))
-    return ranked.withColumn("points", points).drop("_n")
+    ranked = ranked.withColumn("points", points)
+    return ranked if keep_size else ranked.drop("_n", "_missing")
 
 
 def final_order(scored: DataFrame, group: str, item: str) -> DataFrame:
@@ -94,7 +106,23 @@ def final_order(scored: DataFrame, group: str, item: str) -> DataFrame:
     """
     ranked = average_ranks(scored, group, item, ["points"])
     w = Window.partitionBy(group, "points").orderBy(item)
-    return ranked.withColumn("rank", F.col("points_above") + F.row_number().over(w)).drop("points_above", "points_rank", "_n")
+    return ranked.withColumn("rank", F.col("points_above") + F.row_number().over(w)).drop("points_above", "points_rank", "_n", "_missing")
+
+
+def among_first(items: DataFrame, group: str, item: str, weights: dict[str, float], n: int) -> DataFrame:
+    """Items that stand among the first ``n`` of their group on every score: fewer than n strictly higher, none missing.
+
+    They are taken from the head of the Borda order and then checked. An item with more points than such an item has a
+    better rank on some score: it is strictly higher there, as n - 1 items per score are at most, or it misses that
+    score. So no more than (n - 1) * scores + the items with a missing score can be before it, and the head ends there.
+    """
+    scored = borda(items, group, item, weights, keep_size=True).withColumnRenamed("_missing", "_short").drop("_n")
+    used = [s for s, w in weights.items() if w]
+    placed = average_ranks(scored, group, item, ["points"])
+    head = placed.where(F.col("points_above") <= F.lit((n - 1) * len(used)) + F.col("_short"))
+    for s in used:
+        head = head.where(F.col(f"{s}_above") < n)
+    return head.drop("_n", "_short", "_missing", "points_above", "points_rank")
 
 
 def with_closeness(candidates: DataFrame, queries: DataFrame, chunks: DataFrame) -> DataFrame:

@@ -1,7 +1,8 @@
 """How distinctive a term is per record: log-likelihood ratio on a two-by-two table.
 
 For a term in a record the table compares the term's count and the other counts in the record with the same two
-counts in the remaining collection; G2 is signed, so terms rarer in the record than elsewhere score below zero.
+counts in the remaining collection; G2 is signed, so terms rarer in the record than elsewhere score below zero. The
+remaining collection is measured by term counts or, as ``rest="records"``, by the records holding each term.
 
 Defined results
 * a term is trimmed of blanks and lower-cased; null and blank terms, null record ids and rows with tf null or
@@ -17,19 +18,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from passagemill.operators.skew import LEAST_ROWS, SHARE, hot_keys, salted_join
+from passagemill.operators import skew
+from passagemill.operators.skew import free_name, hot_keys, hot_of, salted_join
 
 
 def clean_counts(rows: DataFrame, record: str = "chunk_id", term: str = "term", tf: str = "tf") -> DataFrame:
     """record, term, tf: one row per record and cleaned term."""
-    once = rows.where((F.col(tf) >= 1) & F.col(term).isNotNull() & F.col(record).isNotNull()).distinct()
     word = F.lower(F.trim(F.col(term)))
-    return (
-        once.select(F.col(record).alias("record"), word.alias("term"), F.col(tf).cast("long").alias("tf"))
-        .where(F.col("term") != "")
-        .groupBy("record", "term")
-        .agg(F.sum("tf").alias("tf"))
-    )
+    rows = rows.where((F.col(tf) >= 1) & F.col(term).isNotNull() & F.col(record).isNotNull()).withColumn(free_name(rows, "_word"), word)
+    named = rows.columns[-1]
+    # one shuffle serves dropping the repeated rows and summing what one term of a record is spread over
+    once = rows.where(F.col(named) != "").repartition(record, named).distinct()
+    return once.select(F.col(record).alias("record"), F.col(named).alias("term"), F.col(tf).cast("long").alias("tf")).groupBy("record", "term").agg(F.sum("tf").alias("tf"))
 
 
 def _xlogx(x: Column) -> Column:
@@ -45,24 +45,30 @@ def log_likelihood(k11: Column, k12: Column, k21: Column, k22: Column) -> Column
     return F.when(a * (c + d + a + b) >= (a + b) * (a + c), g2).otherwise(-g2)
 
 
-def score_terms(rows: DataFrame, record: str = "chunk_id", term: str = "term", tf: str = "tf") -> DataFrame:
+def score_terms(rows: DataFrame, record: str = "chunk_id", term: str = "term", tf: str = "tf", rest: str = "counts") -> DataFrame:
     """record, term, tf, df, llr for every kept term of every record.
 
-    The per-term sums are partially aggregated before the shuffle; the join that brings them back to the rows is
-    salted for terms owning a large share of the rows. Two totals are scalars.
+    The per-term sums are partially aggregated before the shuffle; the joins that bring them and the record's sums back
+    to the rows are salted for keys too large for a task. Three totals are scalars.
     """
+    if rest not in ("counts", "records"):
+        raise ValueError("rest must be counts or records")
     counts = clean_counts(rows, record, term, tf)
     per_term = counts.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
-    per_record = counts.groupBy("record").agg(F.sum("tf").alias("length"))
-    total, rows_in = per_term.agg(F.coalesce(F.sum("cf"), F.lit(0)), F.coalesce(F.sum("df"), F.lit(0))).first()
-    # a term's df is its number of rows, so hot terms need no further count; at most 1 / SHARE of them can be hot
-    hot = per_term.where((F.col("df") > SHARE * rows_in) & (F.col("df") >= LEAST_ROWS)) if rows_in >= LEAST_ROWS else None
-    hot_terms = [r[0] for r in hot.select("term").collect()] if hot is not None else []
-    hot_records = hot_keys(counts, "record") if rows_in >= LEAST_ROWS else []
+    per_record = counts.groupBy("record").agg(F.sum("tf").alias("length"), F.count(F.lit(1)).alias("terms"))
+    total, rows_in, most = per_term.agg(F.coalesce(F.sum("cf"), F.lit(0)), F.coalesce(F.sum("df"), F.lit(0)), F.coalesce(F.max("df"), F.lit(0))).first()
+    # a term's df is its number of rows, so hot terms need no further count
+    hot_terms = hot_of(per_term, "term", "df") if most >= skew.LEAST_ROWS else None
+    hot_records = hot_keys(counts, "record") if rows_in >= skew.LEAST_ROWS else None
     kept = salted_join(counts, per_term.where("df > 1"), "term", hot_terms, F.col("record"))
     sized = salted_join(kept, per_record, "record", hot_records, F.col("term"))
-    k11, k12 = F.col("tf"), F.col("cf") - F.col("tf")
-    k21, k22 = F.col("length") - F.col("tf"), F.lit(total) - F.col("length") - F.col("cf") + F.col("tf")
+    k11, k21 = F.col("tf"), F.col("length") - F.col("tf")
+    if rest == "counts":
+        k12 = F.col("cf") - F.col("tf")
+        k22 = F.lit(total) - F.col("length") - k12
+    else:
+        k12 = F.col("df") - 1
+        k22 = F.lit(rows_in) - F.col("terms") - k12
     return sized.select("record", "term", "tf", "df", log_likelihood(k11, k12, k21, k22).alias("llr"))
 
 
@@ -75,14 +81,20 @@ def top_terms(scored: DataFrame, k: int = 5) -> DataFrame:
 def leaders(scored: DataFrame) -> DataFrame:
     """record, term: the term with the strictly highest tf and the strictly lowest df of a record with two or more.
 
-    An exact check on the scored terms, by aggregates alone: the best and the second value of each measure are
-    mergeable, so records of any size are combined before the shuffle.
+    ``scored`` is of ``rest="records"``. There the margins of the table are the same for all terms of a record, and with
+    fixed margins the signed G2 rises with tf and falls with df; so a strict leader is the record's most distinctive
+    term, and only that term is checked. Everything is one aggregate per record: the maximum of a measure is unique if
+    the first and the last term having it are the same, which needs no second look at the rows, so records of any size
+    are combined before the shuffle.
     """
+    t = F.col("term").alias("t")
     best = scored.groupBy("record").agg(
         F.count(F.lit(1)).alias("n"),
-        F.max(F.struct("tf", F.col("term").alias("t"))).alias("high"),
-        F.min(F.struct("df", F.col("term").alias("t"))).alias("low"),
+        F.max(F.struct("llr", "tf", (-F.col("df")).alias("d"), t)).alias("top"),
+        F.max(F.struct("tf", t)).alias("high_last"),
+        F.min(F.struct((-F.col("tf")).alias("tf"), t)).alias("high_first"),
+        F.min(F.struct("df", t)).alias("low_first"),
+        F.max(F.struct((-F.col("df")).alias("df"), t)).alias("low_last"),
     )
-    same = best.where((F.col("n") >= 2) & (F.col("high.t") == F.col("low.t"))).select("record", F.col("high.t").alias("leader"), F.col("high.tf").alias("most"), F.col("low.df").alias("least"))
-    rest = scored.join(same, "record").where((F.col("term") != F.col("leader")) & ((F.col("tf") >= F.col("most")) | (F.col("df") <= F.col("least")))).select("record").distinct()
-    return same.join(rest, "record", "left_anti").select("record", F.col("leader").alias("term"))
+    checks = [F.col(f"{c}.t") == F.col("top.t") for c in ("high_last", "high_first", "low_first", "low_last")]
+    return best.where((F.col("n") >= 2) & checks[0] & checks[1] & checks[2] & checks[3]).select("record", F.col("top.t").alias("term"))

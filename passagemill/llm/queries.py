@@ -22,13 +22,13 @@ def query(f):
 # 1. How distinctive a term is per record
 
 
-def _scored_terms(spark: SparkSession, d: str) -> DataFrame:
-    return distinctive.score_terms(read(spark, d, "chunk_terms").select("chunk_id", "term", "tf"))
+def _scored_terms(spark: SparkSession, d: str, rest: str = "counts") -> DataFrame:
+    return distinctive.score_terms(read(spark, d, "chunk_terms").select("chunk_id", "term", "tf"), rest=rest)
 
 
 @query
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    return distinctive.leaders(_scored_terms(spark, d)).select(F.col("record").alias("chunk_id"), "term")
+    return distinctive.leaders(_scored_terms(spark, d, "records")).select(F.col("record").alias("chunk_id"), "term")
 
 
 @query
@@ -69,24 +69,21 @@ ORACLE["p1_term_drift"] = f"""WITH {_TERMS} SELECT t.term, t.df, s.df AS stored_
 _WEIGHTS = {"base": 1.0, "coverage": 1.0, "proximity": 1.0, "closeness": 1.0}
 
 
-def _ranked(spark: SparkSession, d: str) -> DataFrame:
+def _scored(spark: SparkSession, d: str) -> DataFrame:
     candidates = read(spark, d, "candidates").select("query_id", "chunk_id", "base", "coverage", "proximity").distinct()
-    near = borda.with_closeness(candidates, read(spark, d, "queries").select("query_id", "embedding"), read(spark, d, "chunks").select("chunk_id", "embedding"))
-    return borda.borda(near, "query_id", "chunk_id", _WEIGHTS)
+    return borda.with_closeness(candidates, read(spark, d, "queries").select("query_id", "embedding"), read(spark, d, "chunks").select("chunk_id", "embedding"))
 
 
 @query
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    first = _ranked(spark, d)
-    for s in _WEIGHTS:
-        first = first.where(F.col(f"{s}_above") < 5)
-    return first.select("query_id", "chunk_id").distinct()
+    return borda.among_first(_scored(spark, d), "query_id", "chunk_id", _WEIGHTS, 5).select("query_id", "chunk_id").distinct()
 
 
 @query
 def p4_ranking(spark: SparkSession, d: str) -> DataFrame:
     """The one ranking of every query's candidates."""
-    return borda.final_order(_ranked(spark, d), "query_id", "chunk_id").select("query_id", "chunk_id", F.round("points", 6).alias("points"), "rank")
+    ranked = borda.borda(_scored(spark, d), "query_id", "chunk_id", _WEIGHTS)
+    return borda.final_order(ranked, "query_id", "chunk_id").select("query_id", "chunk_id", F.round("points", 6).alias("points"), "rank")
 
 
 def _above(s: str) -> str:

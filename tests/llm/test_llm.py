@@ -1,10 +1,12 @@
 import random
+import re
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from passagemill.llm import borda, distinctive, leakage, neighbours, overlap, splitting, subjects, tokenizer
+from passagemill.operators import skew
 
 
 # 1
@@ -16,14 +18,14 @@ def test_distinctive_terms(spark):
     scored = {(r["record"], r["term"]): r for r in distinctive.score_terms(df).collect()}
     assert set(scored) == {("c1", "foo"), ("c1", "the"), ("c2", "the"), ("c2", "foo"), ("c3", "the")}
     assert scored["c1", "foo"]["tf"] == 4 and scored["c1", "foo"]["df"] == 2 and scored["c1", "foo"]["llr"] > scored["c1", "the"]["llr"]
-    assert {(r["record"], r["term"]) for r in distinctive.leaders(distinctive.score_terms(df)).collect()} == {("c1", "foo")}
+    assert {(r["record"], r["term"]) for r in distinctive.leaders(distinctive.score_terms(df, rest="records")).collect()} == {("c1", "foo")}
     assert distinctive.top_terms(distinctive.score_terms(df.limit(0))).count() == 0
 
 
 def test_leaders_with_ties(spark):
     rng = random.Random(2)
     rows = [(f"c{i}", f"t{j}", rng.randrange(1, 4)) for i in range(60) for j in rng.sample(range(12), rng.randrange(1, 6))]
-    got = {(r["record"], r["term"]) for r in distinctive.leaders(distinctive.score_terms(spark.createDataFrame(rows, "chunk_id string, term string, tf int"))).collect()}
+    got = {(r["record"], r["term"]) for r in distinctive.leaders(distinctive.score_terms(spark.createDataFrame(rows, "chunk_id string, term string, tf int"), rest="records")).collect()}
     df = {}
     for c, t, _ in rows:
         df.setdefault(t, set()).add(c)
@@ -52,11 +54,22 @@ def _plain_ranks(rows, s):
     return out
 
 
+def test_a_group_of_few_of_all_rows_is_ranked_in_blocks(spark, monkeypatch):
+    """A group is cut by its own size, however small its share of the table."""
+    monkeypatch.setattr(skew, "LEAST_ROWS", 50)
+    items = spark.range(20_000).select(F.when(F.col("id") < 80, F.lit("g")).otherwise(F.concat(F.lit("q"), F.col("id"))).alias("q"), F.col("id").cast("string").alias("c"), (F.col("id") % 37).cast("double").alias("a"))
+    ranked = borda.average_ranks(items, "q", "c", ["a"])
+    got = {r["c"]: r["a_rank"] for r in ranked.where("q = 'g'").collect()}
+    values = [i % 37 for i in range(80)]
+    assert got == {str(i): sum(v > values[i] for v in values) + (values.count(values[i]) + 1) / 2 for i in range(80)}
+    assert ranked.where("q <> 'g' and a_rank = 1").count() == 19_920
+
+
 @pytest.mark.parametrize("least", [10**9, 5])
 def test_borda_ranks_small_and_hot_groups(spark, monkeypatch, least):
     rng = random.Random(1)
     rows = [("q" if i % 3 else f"p{i % 7}", f"u{i:03d}", rng.choice([None, float("nan"), 0.5, 1.0, rng.random()]), rng.choice([0.0, 1.0, 1e9, float("inf"), None])) for i in range(150)]
-    monkeypatch.setattr(borda, "LEAST_ROWS", least)
+    monkeypatch.setattr(skew, "LEAST_ROWS", least)
     df = spark.createDataFrame(rows + rows[:3], "query_id string, chunk_id string, a double, b double")
     got = borda.borda(df, "query_id", "chunk_id", {"a": 1.0, "b": 2.0})
     held = {(r["query_id"], r["chunk_id"]): r for r in got.collect()}
@@ -64,6 +77,9 @@ def test_borda_ranks_small_and_hot_groups(spark, monkeypatch, least):
     for s, i in (("a", 2), ("b", 3)):
         want = _plain_ranks(rows, i)
         assert all(held[k][f"{s}_rank"] == pytest.approx(v) for k, v in want.items())
+    first = {(r["query_id"], r["chunk_id"]) for r in borda.among_first(df, "query_id", "chunk_id", {"a": 1.0, "b": 2.0}, 5).collect()}
+    above = lambda r, i: 99 if r[i] is None or r[i] != r[i] else sum(x[0] == r[0] and x[i] is not None and x[i] > r[i] for x in rows)
+    assert first == {r[:2] for r in rows if above(r, 2) < 5 and above(r, 3) < 5} and first
     order = borda.final_order(got, "query_id", "chunk_id").where("query_id = 'q'").orderBy("rank").collect()
     assert [r["rank"] for r in order] == list(range(1, len(order) + 1))
     assert [r["chunk_id"] for r in order] == [r["chunk_id"] for r in sorted(order, key=lambda r: (-r["points"], r["chunk_id"]))]
@@ -133,8 +149,38 @@ def test_splitting_properties():
             continue
         assert pieces[0][0] == 0 and pieces[-1][1] == len(text)
         for (a, b, _), (c, d, _) in zip(pieces, pieces[1:]):
-            assert a < c <= b < d and b - c <= lap
+            assert a < c <= b < d and b - c <= 1.5 * lap
+            # an overlap is short only where the limit, or the start of the piece before, leaves no more
+            assert b - c >= lap // 2 or d - c >= limit - lap // 2 or c - a <= lap // 2
         assert all(0 < b - a <= limit for a, b, _ in pieces)
+        # no hard cut where white space could be cut
+        hard = [c for c, kind in splitting.cut_points(text, limit, lap) if kind == "none"]
+        assert all(any(a < c < b and b - a > limit for a, b in (m.span() for m in re.finditer("[^ \t\r\n]+|[ \t\r\n]+", text))) for c in hard)
+        assert splitting.level_of(text, limit) == _plain_level(text, limit)
+
+
+def _plain_level(text, limit):
+    """The class by its definition: cut everywhere and look at the longest stretch."""
+    for name, pattern in (("paragraph", r"\n[ \t\r]*\n"), ("sentence", r"\n[ \t\r]*\n|(?<=[.!?])[ \t\r\n]+(?=[A-Z(])"), ("space", r"[ \t\r\n]+")):
+        if max(len(s.strip(" \t\r\n")) for s in re.split(pattern, text)) <= limit:
+            return name
+    return "none"
+
+
+def test_cuts_at_the_space_a_long_token_leaves():
+    words = "word " * 80
+    text = words + "x" * 1300
+    assert len(text) == 1700 and splitting.cut_points(text) == [(400, "space")]
+    long = "y" * 1500
+    pieces = splitting.split_text(words + long + " " + words)
+    assert long in [(words + long + " " + words)[a:b].strip() for a, b, _ in pieces] or any(long in (words + long + " " + words)[a:b] for a, b, _ in pieces)
+    # overlaps are about as long as asked for, although the next white space comes late
+    text = "ab " * 300 + "z" * 150 + " " + "cd " * 400
+    (_, b, _), (c, _, _) = splitting.split_text(text)[:2]
+    assert 80 <= b - c <= 240
+    # a paragraph end off the middle is cut before a sentence end in the middle
+    text = "P" * 300 + "\n\n" + "One two. Three. " * 100
+    assert splitting.cut_points(text)[0] == (302, "paragraph")
 
 
 def test_boundary_levels(spark):
