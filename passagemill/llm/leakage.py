@@ -1,7 +1,8 @@
 """Evaluation texts leaking into training text: a BM25 index of the test items, searched with block-max WAND.
 
-The held-out items are the small side: their number is bounded (``MAX_ITEMS``, checked), so their inverted index goes
-to every worker. The training documents are only scanned, once, without a shuffle.
+The held-out items are the small side: the inverted index of a block of them, bounded in number and characters, goes
+to every worker, and further items are further blocks. The training documents are only scanned, once per block, without
+a shuffle.
 
 1. Words are runs of letters and digits after folding case, accents and character forms; invisible characters, tags,
    bracketed citation numbers and hyphens at line ends are ignored.
@@ -29,14 +30,15 @@ from array import array
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
-from math import log
+from math import ceil, log
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 RUN = 12
-MAX_ITEMS = 50_000
+#: Items and characters of one block, about: its index is held by every worker. Further blocks take further scans.
+BLOCK_MAX_ITEMS, BLOCK_MAX_CHARS = 50_000, 50_000_000
 BLOCK_ITEMS = 16
 K1, B = 1.2, 0.75
 #: Entries kept in a worker's memo of corpus words.
@@ -242,29 +244,46 @@ def _index(items: tuple[tuple[int, str], ...], run: int) -> ItemIndex:
     return ItemIndex(list(items), run)
 
 
-def find_leaks(documents: DataFrame, items: DataFrame, run: int = RUN, max_items: int = MAX_ITEMS) -> DataFrame:
+def item_blocks(items: DataFrame, block_items: int, block_chars: int) -> list[list[tuple[int, str]]]:
+    """The distinct items with a text, in blocks of bounded number and size; each block is fetched on its own.
+
+    Only the running totals per hash bucket come to the driver before: one row per bucket, of about a block's items.
+    """
+    rows = items.select(F.col("item_id").cast("long").alias("item_id"), "text").where(F.col("text").isNotNull() & F.col("item_id").isNotNull()).distinct()
+    n, chars = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.length("text")), F.lit(0))).first()
+    parts = max(1, ceil(2 * n / block_items), ceil(2 * chars / block_chars))
+    bucket = F.pmod(F.xxhash64("item_id", "text"), F.lit(parts))
+    return [sorted((r[0], r[1]) for r in (rows if parts == 1 else rows.where(bucket == p)).collect()) for p in range(parts)] if n else []
+
+
+def find_leaks(documents: DataFrame, items: DataFrame, run: int = RUN, block_items: int = BLOCK_MAX_ITEMS, block_chars: int = BLOCK_MAX_CHARS) -> DataFrame:
     """doc_id, item_id, shared_words, item_words of every document holding ``run`` or more words of an item.
 
-    Raises if there are more than ``max_items`` items: the index is sent to every worker, so its size is bounded.
+    The index of a block of items goes to every worker, so a block is bounded; more items than one block holds are
+    searched block by block, each over all documents, and the results are joined.
     """
-    rows = items.select("item_id", "text").where(F.col("text").isNotNull()).distinct().limit(max_items + 1).collect()
-    if len(rows) > max_items:
-        raise ValueError(f"more than {max_items} items: split them and search each part")
-    held = documents.sparkSession.sparkContext.broadcast(tuple(sorted((r[0], r[1]) for r in rows)))
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = _index(held.value, run)
-        for batch in batches:
-            out: list[list] = [[], [], [], []]
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if text:
-                    for item, n in index.leaks(text).items():
-                        for column, value in zip(out, (doc, index.ids[item], n, len(index.items[item]))):
-                            column.append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(out, _LEAKS)], schema=_LEAKS)
-
-    found = documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(scan, "doc_id long, item_id long, shared_words int, item_words int")
-    return found.groupBy("doc_id", "item_id").agg(F.max("shared_words").alias("shared_words"), F.max("item_words").alias("item_words"))
+    spark = documents.sparkSession
+    slim = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    out = None
+    for block in item_blocks(items, block_items, block_chars):
+        held = spark.sparkContext.broadcast(tuple(block))
+
+        def scan(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
+            index = _index(held.value, run)
+            for batch in batches:
+                out: list[list] = [[], [], [], []]
+                for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                    if text:
+                        for item, n in index.leaks(text).items():
+                            for column, value in zip(out, (doc, index.ids[item], n, len(index.items[item]))):
+                                column.append(value)
+                yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(out, _LEAKS)], schema=_LEAKS)
+
+        found = slim.mapInArrow(scan, "doc_id long, item_id long, shared_words int, item_words int")
+        out = found if out is None else out.unionByName(found)
+    if out is None:
+        return spark.createDataFrame([], "doc_id long, item_id long, shared_words int, item_words int")
+    return out.groupBy("doc_id", "item_id").agg(F.max("shared_words").alias("shared_words"), F.max("item_words").alias("item_words"))
 
 
 def leak_report(found: DataFrame, items: DataFrame) -> DataFrame:

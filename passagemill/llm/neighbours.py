@@ -6,7 +6,7 @@
 3. Every vector is put into its leaf. Leaves in tree order are packed into shards of at most ``SHARD`` vectors; a
    leaf larger than that is spread over several shards, all of which a visitor visits.
 4. Calibration: the true neighbours of ``PROBES`` sampled vectors are found by comparing them with all vectors; the
-   traversal is widened until the visited leaves hold ``RECALL`` of them.
+   leaf visits are doubled until the visited leaves hold ``RECALL`` of them, then cut back to the least that do.
 5. Every vector walks the tree best bin first, through a priority queue of unvisited branches, and is sent once to
    each shard holding one of its leaves. A shard compares each of its leaves with the visitors of that leaf only.
 6. The best k of each vector's shards are merged.
@@ -16,7 +16,8 @@ Defined results
   neighbours; null ids are left out;
 * direction counts, length does not; repeated rows count once; an id with several embeddings has each looked up and
   keeps its best k;
-* copies are neighbours with similarity 1; ties are broken by the smaller id; a vector is not its own neighbour;
+* copies are neighbours with similarity 1; equal similarities are ordered by the smaller id, and which of several
+  equally similar vectors that are no copies takes the last place is left open; a vector is not its own neighbour;
 * fewer than k other vectors give fewer rows; extra columns are ignored.
 """
 
@@ -31,18 +32,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from passagemill.operators.skew import hot_of, salted_join
 from passagemill.session import cut_lineage
 
 K, BRANCHES, LEAF, SHARD = 10, 8, 384, 16_384
-MAX_LEAVES, MAX_SAMPLE = 65_536, 1_000_000
+#: The tree's leaves, and the vectors and bytes of the sample it is fitted on, at most.
+MAX_LEAVES, MAX_SAMPLE, SAMPLE_BYTES = 65_536, 1_000_000, 128 << 20
+#: Vectors that walk side by side.
+SLICE = 2048
 PROBES, RECALL = 256, 0.97
 #: Visitors of a shard compared in one task.
 VISITORS = 16_384
 
 
-def sample_size(n: int) -> int:
-    """Vectors the tree is fitted on: all up to 20,000, then a tenth, at most MAX_SAMPLE."""
-    return min(n, max(20_000, min(n // 10, MAX_SAMPLE)))
+def sample_size(n: int, dim: int) -> int:
+    """Vectors the tree is fitted on: all up to 20,000, then a tenth, at most MAX_SAMPLE and SAMPLE_BYTES of them."""
+    return min(n, max(20_000, min(n // 10, MAX_SAMPLE)), max(1, SAMPLE_BYTES // (4 * dim)))
 
 
 class Tree:
@@ -69,6 +74,7 @@ class Tree:
                 centres.append(centre)
             stack += reversed([(c, own) for c, (_, own) in zip(self.children[node], parts)])
         self.centres = np.array(centres, dtype=np.float32)
+        self.pack()
 
     @staticmethod
     def _split(x: np.ndarray, rows: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 8) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -83,44 +89,68 @@ class Tree:
         of = (y @ c.T - 0.5 * (c * c).sum(axis=1)).argmax(axis=1)
         return [(c[j], rows[of == j]) for j in range(k) if (of == j).any()]
 
-    def nearness(self, x: np.ndarray) -> np.ndarray:
-        """Larger is nearer: twice the negative squared distance to every node, up to a constant of the vector."""
-        return x @ self.centres.T - 0.5 * (self.centres * self.centres).sum(axis=1)
-
-    def assign(self, x: np.ndarray) -> np.ndarray:
-        """The leaf of every vector, by the nearest child at each node."""
-        near, out = self.nearness(x), np.empty(len(x), dtype=np.int32)
-        stack = [(0, np.arange(len(x)))]
-        while stack:
-            node, rows = stack.pop()
-            kids = self.children[node]
-            if not kids:
-                out[rows] = self.leaf_of[node]
-                continue
-            of = near[np.ix_(rows, kids)].argmax(axis=1)
-            for j, c in enumerate(kids):
-                own = rows[of == j]
-                if len(own):
-                    stack.append((c, own))
+    def pack(self) -> None:
+        """Children and centres as arrays, so that a step of many walks is one gather and one product."""
+        width = max(1, max(map(len, self.children)))
+        self.kids = np.full((len(self.children), width), -1, dtype=np.int32)
+        for node, own in enumerate(self.children):
+            self.kids[node, : len(own)] = own
+        self.leaf = np.array(self.leaf_of, dtype=np.int32)
+        self.half = 0.5 * (self.centres * self.centres).sum(axis=1)
+
+    def _near(self, x: np.ndarray, nodes: np.ndarray) -> np.ndarray:
+        """Nearness of each vector to the children of its own node only; larger is nearer, -inf where there is no child.
+
+        Up to a constant of the vector it is half the negative squared distance, so nodes of all depths compare.
+        """
+        kids = self.kids[nodes]
+        near = np.einsum("rkd,rd->rk", self.centres[kids], x) - self.half[kids]
+        near[kids < 0] = -np.inf
+        return near
+
+    def walk(self, x: np.ndarray, visits: int) -> np.ndarray:
+        """The first ``visits`` leaves of every vector (rows; -1 where there are no more), best bin first.
+
+        Each vector goes down to a leaf by the nearest child, puts the branches it leaves behind into its priority queue,
+        and goes on from the best of them. The vectors walk side by side; distances are computed to the children of the
+        nodes they pass and to no others, so the work per vector grows with the visits and the depth of the tree.
+        """
+        n, width = len(x), self.kids.shape[1]
+        out = np.full((n, visits), -1, dtype=np.int32)
+        queue_near, queue_node = np.full((n, 1), -np.inf, dtype=np.float32), np.zeros((n, 1), dtype=np.int32)
+        node, alive, rows = np.zeros(n, dtype=np.int32), np.ones(n, dtype=bool), np.arange(n)
+        for v in range(visits):
+            if v:
+                best = queue_near.argmax(axis=1)
+                node, alive = queue_node[rows, best].copy(), queue_near[rows, best] > -np.inf
+                queue_near[rows, best] = -np.inf
+                if not alive.any():
+                    break
+            new_near, new_node = [queue_near], [queue_node]
+            while True:
+                down = np.flatnonzero(alive & (self.kids[node, 0] >= 0))
+                if not len(down):
+                    break
+                at = node[down]
+                near = self._near(x[down], at)
+                best = near.argmax(axis=1)
+                node[down] = self.kids[at, best]
+                near[np.arange(len(down)), best] = -np.inf
+                left_near, left_node = np.full((n, width), -np.inf, dtype=np.float32), np.zeros((n, width), dtype=np.int32)
+                left_near[down], left_node[down] = near, self.kids[at]
+                new_near.append(left_near)
+                new_node.append(left_node)
+            out[:, v] = np.where(alive, self.leaf[node], -1)
+            queue_near, queue_node = np.concatenate(new_near, axis=1), np.concatenate(new_node, axis=1)
+            keep = visits - v - 1  # no more branches than leaves still to visit can be taken from the queue
+            if keep < queue_near.shape[1] and keep:
+                top = np.argpartition(-queue_near, keep - 1, axis=1)[:, :keep]
+                queue_near, queue_node = np.take_along_axis(queue_near, top, axis=1), np.take_along_axis(queue_node, top, axis=1)
         return out
 
-    def walk(self, near: list[float], visits: int) -> list[int]:
-        """The first ``visits`` leaves, best bin first: go down to a leaf, then on from the best branch left behind."""
-        children, leaf_of, push, pop = self.children, self.leaf_of, heapq.heappush, heapq.heappop
-        queue: list[tuple[float, int]] = [(-near[0], 0)]
-        out: list[int] = []
-        while queue and len(out) < visits:
-            _, node = pop(queue)
-            kids = children[node]
-            while kids:
-                best = max(kids, key=near.__getitem__)
-                for c in kids:
-                    if c != best:
-                        push(queue, (-near[c], c))
-                node = best
-                kids = children[node]
-            out.append(leaf_of[node])
-        return out
+    def assign(self, x: np.ndarray) -> np.ndarray:
+        """The leaf of every vector: the first one of its walk, ``SLICE`` vectors at a time."""
+        return np.concatenate([self.walk(x[a : a + SLICE], 1)[:, 0] for a in range(0, len(x), SLICE)]) if len(x) else np.zeros(0, dtype=np.int32)
 
 
 def _unit(batch: pa.RecordBatch, column: int, dim: int) -> np.ndarray:
@@ -202,8 +232,8 @@ def build(vectors: DataFrame, dim: int, k: int = K, recall: float = RECALL) -> t
     n = vectors.count()
     if n < 2:
         return vectors.withColumn("leaf", F.lit(0)), None
-    by_hash = vectors.orderBy(F.xxhash64("id", F.lit(11)), "id").limit(sample_size(n)).collect()
-    x = np.frombuffer(b"".join(r["vec"] for r in by_hash), dtype=np.float32).reshape(-1, dim)
+    by_hash = vectors.orderBy(F.xxhash64("id", F.lit(11)), "id").limit(sample_size(n, dim)).toArrow()
+    x = np.frombuffer(b"".join(by_hash.column("vec").to_pylist()), dtype=np.float32).reshape(-1, dim)
     tree = Tree(x, n / len(x))
     held = vectors.sparkSession.sparkContext.broadcast(tree)
     schema = pa.schema([("id", pa.string()), ("vec", pa.binary()), ("leaf", pa.int32())])
@@ -216,17 +246,26 @@ def build(vectors: DataFrame, dim: int, k: int = K, recall: float = RECALL) -> t
     placed = cut_lineage(vectors.select("id", "vec").mapInArrow(assign, "id string, vec binary, leaf int"))
     counts = dict(placed.groupBy("leaf").count().collect())  # one row a leaf, at most MAX_LEAVES
     shards = pack([counts.get(i, 0) for i in range(tree.leaves)])
-    probes = [(r["id"], r["vec"]) for r in by_hash[:PROBES]]
-    truth = true_neighbours(placed, probes, dim, k)
-    near = tree.nearness(x[: len(probes)]).tolist()
-    order = {i: {leaf: p for p, leaf in enumerate(tree.walk(near[r], tree.leaves))} for r, (i, _) in enumerate(probes)}
-    ranks = np.sort([order[p][leaf] for p, _, leaf in truth])
-    visits = int(ranks[max(0, ceil(recall * len(ranks)) - 1)]) + 1 if len(ranks) else 1
-    got = float((ranks < visits).mean()) if len(ranks) else 1.0
+    probes = [(r["id"], r["vec"]) for r in by_hash.slice(0, PROBES).to_pylist()]
+    truth: dict[str, list[int]] = {}
+    for p, _, leaf in true_neighbours(placed, probes, dim, k):
+        truth.setdefault(p, []).append(leaf)
+    # leaf visits are widened until the leaves visited hold enough of the true neighbours
+    visits, wanted = 1, sum(map(len, truth.values()))
+    while True:
+        seen_by = [own[own >= 0].tolist() for own in tree.walk(x[: len(probes)], visits)]
+        place = [{leaf: at for at, leaf in enumerate(own)} for own in seen_by]
+        ranks = np.sort([place[r].get(leaf, visits) for r, (i, _) in enumerate(probes) for leaf in truth.get(i, ())])
+        if not wanted or (ranks < visits).mean() >= recall or visits >= tree.leaves:
+            break
+        visits = min(2 * visits, tree.leaves)
+    if wanted:
+        visits = min(visits, int(ranks[max(0, ceil(recall * wanted) - 1)]) + 1)
+    got = float((ranks < visits).mean()) if wanted else 1.0
     # visitors of a shard, projected from the probes, decide into how many parts they are dealt
     seen = np.zeros(1 + max(s for own in shards for s in own))
-    for ranked in order.values():
-        for s in {s for leaf, p in ranked.items() if p < visits for s in shards[leaf]}:
+    for own in seen_by:
+        for s in {s for leaf in own[:visits] for s in shards[leaf]}:
             seen[s] += n / len(probes)
     return placed, Index(tree, dim, visits, shards, [max(1, ceil(v / VISITORS)) for v in seen], got)
 
@@ -255,14 +294,14 @@ def nearest_classes(placed: DataFrame, index: Index, k: int = K) -> DataFrame:
     def calls(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ix = held.value
         for batch in batches:
-            for at in range(0, batch.num_rows, 2048):
-                part = batch.slice(at, 2048)
-                near = ix.tree.nearness(_unit(part, 1, ix.dim)).tolist()
+            for at in range(0, batch.num_rows, SLICE):
+                part = batch.slice(at, SLICE)
+                walks = ix.tree.walk(_unit(part, 1, ix.dim), ix.visits).tolist()
                 out: list[list] = [[] for _ in call_schema]
                 for r, (i, v) in enumerate(zip(part.column(0).to_pylist(), part.column(1).to_pylist())):
                     visit: dict[int, list[int]] = {}
-                    for leaf in ix.tree.walk(near[r], ix.visits):
-                        for s in ix.shards[leaf]:
+                    for leaf in walks[r]:
+                        for s in ix.shards[leaf] if leaf >= 0 else ():
                             visit.setdefault(s, []).append(leaf)
                     for s, leaves in visit.items():
                         for column, value in zip(out, (s, spread(i, ix.salts[s]), i, v, leaves)):
@@ -340,22 +379,27 @@ def neighbours(chunks: DataFrame, k: int = K, id_col: str = "chunk_id", vec_col:
             return empty
         dim = common["d"]
     members = unit_vectors(chunks, dim, id_col, vec_col)
-    # classes of equal vectors, named by their smallest id; of each the k + 1 smallest ids can be anyone's neighbours
-    classes = members.groupBy("vec").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n"))
-    classes = classes.groupBy("id").agg(F.min(F.struct("vec", "n")).alias("_c")).select("id", "_c.vec", "_c.n")
-    placed, index = build(classes.select("id", "vec"), dim, k, recall)
-    copies = members.join(classes.where("n > 1").select(F.col("id").alias("cls"), "vec"), "vec").select("cls", "id")
+    # classes of equal vectors, named by their smallest id and the vector, as an id may have several; of each class the
+    # k + 1 smallest ids can be anyone's neighbours
+    classes = members.groupBy("vec").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")).select(F.concat_ws("\0", "first", F.md5("vec")).alias("cls"), "vec", "first", "n")
+    classes = cut_lineage(classes)  # read five times below
+    placed, index = build(classes.select(F.col("cls").alias("id"), "vec"), dim, k, recall)
+    copied = classes.where("n > 1").select("vec", "cls", "n")
+    copies = salted_join(members, copied, "vec", hot_of(copied, "vec", "n"), F.col("id")).select("cls", "n", "id")
     w = Window.partitionBy("cls").orderBy("id")
-    first = copies.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k + 1).groupBy("cls").agg(F.sort_array(F.collect_list("id")).alias("ids"))
+    # Catalyst keeps the first k + 1 of a class before the shuffle
+    head = copies.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k + 1).groupBy("cls").agg(F.sort_array(F.collect_list("id")).alias("ids"))
     if index is None:
-        near = empty.select("id", "neighbour", "similarity")
+        near = empty.select(F.col("id").alias("from"), "neighbour", "similarity")
     else:
-        near = nearest_classes(placed, index, k).select("id", F.explode("near").alias("e")).select("id", F.col("e.id").alias("cls"), F.col("e.sim").alias("similarity"))
-        near = near.join(first, "cls", "left").select("id", F.explode(F.coalesce("ids", F.array("cls"))).alias("neighbour"), "similarity")
-    # every copy has the neighbours of its class, and its fellow copies
-    owner = copies.select(F.col("cls").alias("id"), F.col("id").alias("copy"))
-    mine = near.join(owner, "id", "left").select(F.coalesce("copy", "id").alias("id"), "neighbour", "similarity")
-    fellows = copies.join(first, "cls").select("id", F.explode("ids").alias("neighbour"), F.lit(1.0).alias("similarity"))
+        near = nearest_classes(placed, index, k).select(F.col("id").alias("from"), F.explode("near").alias("e")).select("from", F.col("e.id").alias("cls"), F.col("e.sim").alias("similarity"))
+        near = near.join(head, "cls", "left").select("from", F.explode(F.coalesce("ids", F.array(F.expr("left(cls, length(cls) - 33)")))).alias("neighbour"), "similarity")
+    # copies of a class with more than k members have each other; those of smaller ones have their fellows and the
+    # neighbours of their class
+    few = copies.where(F.col("n") <= k).select(F.col("cls").alias("from"), "id")
+    alone = classes.where("n = 1").select(F.col("cls").alias("from"), F.col("first").alias("id"))
+    mine = near.join(few.unionByName(alone), "from").select("id", "neighbour", "similarity")
+    fellows = salted_join(copies.select("cls", "id"), head, "cls", hot_of(copied, "cls", "n"), F.col("id")).select("id", F.explode("ids").alias("neighbour"), F.lit(1.0).alias("similarity"))
     every = mine.unionByName(fellows).where(F.col("id") != F.col("neighbour")).groupBy("id", "neighbour").agg(F.max("similarity").alias("similarity"))
     rank = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("similarity"), "neighbour"))
     return every.withColumn("rank", rank).where(F.col("rank") <= k)

@@ -1,5 +1,8 @@
+import heapq
 import random
 import re
+import time
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -123,14 +126,71 @@ def test_neighbours_against_brute_force(spark):
     assert neighbours.neighbours(one).count() == 0
 
 
+def _plain_walk(tree, v, visits):
+    """Best bin first for one vector, with a heap."""
+    near = lambda c: float(v @ tree.centres[c] - tree.half[c])
+    queue, out = [(-near(0), 0)], []
+    while queue and len(out) < visits:
+        _, node = heapq.heappop(queue)
+        while tree.children[node]:
+            kids = sorted(tree.children[node], key=near, reverse=True)
+            for c in kids[1:]:
+                heapq.heappush(queue, (-near(c), c))
+            node = kids[0]
+        out.append(tree.leaf_of[node])
+    return out
+
+
+def test_walks_cost_the_same_in_trees_of_any_size():
+    """Memory and time of a walk from 64 to 65,536 leaves: they grow with the depth, not with the leaves."""
+    rng = np.random.default_rng(1)
+
+    def full(depth):
+        t = neighbours.Tree(rng.normal(size=(4, 16)).astype(np.float32), 1.0)
+        n = sum(4**i for i in range(depth + 1))
+        inner = sum(4**i for i in range(depth))
+        t.children = [list(range(4 * i + 1, 4 * i + 5)) if i < inner else [] for i in range(n)]
+        t.leaf_of = [-1] * inner + list(range(n - inner))
+        t.leaves, t.centres = n - inner, rng.normal(size=(n, 16)).astype(np.float32)
+        t.pack()
+        return t
+
+    x = rng.normal(size=(neighbours.SLICE, 16)).astype(np.float32)
+    cost = {}
+    for depth in (3, 8):
+        tree = full(depth)
+        tree.walk(x, 8)
+        tracemalloc.start()
+        began = time.process_time()
+        got = tree.walk(x, 8)
+        cost[tree.leaves] = time.process_time() - began, tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert (np.diff(np.sort(got, axis=1), axis=1) > 0).all()
+    assert set(cost) == {64, 65_536}
+    assert cost[65_536][0] < 8 * cost[64][0] and cost[65_536][1] < 4 * cost[64][1]
+
+
+def test_ids_with_two_vectors_and_large_groups_of_copies(spark, monkeypatch):
+    monkeypatch.setattr(skew, "LEAST_ROWS", 20)
+    e = lambda *v: [float(x) for x in v]
+    rows = [("a", e(1, 0, 0)), ("a", e(0, 1, 0)), ("b", e(0, 1, 0)), ("c", e(1, 0, 0)), ("d", e(1, 0.1, 0)), ("e", e(0, 1, 0.1))] + [(f"m{i:03d}", e(0, 0, 1)) for i in range(60)] + [("n", e(0, 0.01, 1))]
+    got = {}
+    for r in neighbours.neighbours(spark.createDataFrame(rows, "chunk_id string, embedding array<float>"), 2).collect():
+        got.setdefault(r["id"], []).append(r["neighbour"])
+    assert got["b"] == ["a", "e"] and got["c"] == ["a", "d"] and set(got["a"]) == {"b", "c"}
+    assert got["m000"] == ["m001", "m002"] and got["m059"] == ["m000", "m001"] and got["n"] == ["m000", "m001"] and len(got) == 66
+
+
 def test_shards_of_leaves():
     assert neighbours.pack([3, 3, 9, 2, 0], 5) == [[0], [1], [2, 3], [4], [4]]
     x = np.random.default_rng(0).normal(size=(500, 8)).astype(np.float32)
     tree = neighbours.Tree(x, 1.0, leaf=20, branches=4)
     assert np.bincount(tree.assign(x)).max() <= 40
-    near = tree.nearness(x[:5]).tolist()
-    assert all(sorted(tree.walk(n, tree.leaves)) == list(range(tree.leaves)) for n in near)
-    assert [tree.walk(n, 1)[0] for n in near] == tree.assign(x[:5]).tolist()
+    assert all(sorted(own) == list(range(tree.leaves)) for own in tree.walk(x[:5], tree.leaves).tolist())
+    assert tree.walk(x[:5], 1)[:, 0].tolist() == tree.assign(x[:5]).tolist()
+    assert all(_plain_walk(tree, v, 6) == own for v, own in zip(x[:40], tree.walk(x[:40], 6).tolist()))
+    assert tree.walk(x[:3], tree.leaves + 4)[:, -4:].max() == -1
+    assert len(tree.walk(x[:0], 3)) == len(tree.assign(x[:0])) == 0
     same = neighbours.Tree(np.ones((50, 4), dtype=np.float32), 1.0, leaf=5)
     assert same.leaves >= 1
 
@@ -319,6 +379,22 @@ def test_random_words_round_trip():
             assert ids == e._long(w.encode())
 
 
+def test_random_words_above_long_against_a_library():
+    import base64
+
+    import tiktoken
+
+    with open(tokenizer.default_vocabulary(), "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    one = tiktoken.Encoding("one", pat_str=r"(?s).+", mergeable_ranks=ranks, special_tokens={})
+    e = tokenizer.encoder(tokenizer.default_vocabulary())
+    rng = random.Random(5)
+    words = ["".join(rng.choice(letters) for _ in range(rng.randrange(tokenizer.LONG // 2, 4 * tokenizer.LONG))) for letters in ("abcdeinorst", "ab", "éü試a", "the ing", "0123") for _ in range(30)]
+    assert sum(len(w.encode()) > tokenizer.LONG for w in words) > 100
+    for w, ids in zip(words, e.encode_words(words)):
+        assert list(ids) == one.encode_ordinary(w)
+
+
 # 9
 
 
@@ -363,8 +439,9 @@ def test_leak_dirt(spark):
     report = {(r["split"], r["source"]): (r["items"], r["leaked_items"], r["leaks"]) for r in leakage.leak_report(leakage.find_leaks(docs, items), items).collect()}
     assert report == {("dev", "s"): (2, 1, 3), ("test", "s"): (1, 0, 0)}
     assert leakage.find_leaks(docs, items.limit(0)).count() == 0 and leakage.find_leaks(docs.limit(0), items).count() == 0
-    with pytest.raises(ValueError):
-        leakage.find_leaks(docs, items, max_items=1)
+    for block in ({"block_items": 1}, {"block_chars": 40}):
+        assert len(leakage.item_blocks(items, **{"block_items": 50, "block_chars": 10**6} | block)) > 1
+        assert {(r["doc_id"], r["item_id"]): r["shared_words"] for r in leakage.find_leaks(docs, items, **block).collect()} == got
 
 
 # 10
