@@ -7,9 +7,10 @@ refined by alternating multiplicative updates under the generalised Kullback-Lei
 unlabelled subjects are absorbed by the updates.
 
 Apply. The factor of terms is small, so it goes to every worker and all documents are read once, without a shuffle.
-A term's subject shares follow from its column; adjacent subject-bearing terms form a mention. The subject of a
-sentence is the one most of its mentions are about, ties going to the document's mixture, then to the first mention;
-the mixture of a document is the shares of its sentences.
+A term's column of the factor says which components it comes from; adjacent terms of one kind are a mention, with their
+columns added. A document is folded in: with the columns fixed, the same multiplicative updates give the mixture of
+components of its mentions, and then, with the document's mixture as prior, that of each sentence. A sentence is about the
+largest component of its mixture, and a document's shares are those of its sentences.
 
 Defined results
 * null, empty and blank texts, and texts about no subject, have no row in ``found``;
@@ -39,7 +40,9 @@ MAX_FIT = 1600
 MAX_TERMS, COMMON, MIN_SHARE = 20_000, 300, 0.004
 #: A term seeds a subject from this many times the usual number of documents.
 LIFT = 2.0
-MAX_BACKGROUND, ROUNDS = 8, 20
+MAX_BACKGROUND, ROUNDS, FOLD_ROUNDS = 8, 20, 12
+#: Mentions that the document's mixture counts as in each of its sentences.
+PRIOR = 0.4
 #: Share of a term's mass that one subject must have for the term to bear it.
 BEARING = 0.5
 #: Share of a document's subject sentences from which it is about a subject.
@@ -112,6 +115,23 @@ def factor(v: np.ndarray, w: np.ndarray, h: np.ndarray, rounds: int = ROUNDS) ->
     return w, h
 
 
+def fold_in(h: np.ndarray, v: np.ndarray, row: np.ndarray, prior: np.ndarray | float = 0.0, rounds: int = FOLD_ROUNDS) -> np.ndarray:
+    """The mixtures of rows that were not in the fit: w of v ~ w h with h fixed, by the same multiplicative updates.
+
+    ``h`` holds a component vector per observation (adding up to 1), ``v`` its count and ``row`` (ascending) the row it
+    is in; every row has one. ``prior`` is added to each row's mass in each round. Rows of the result add up to 1.
+    """
+    starts = np.flatnonzero(np.concatenate([[True], np.diff(row) > 0]))
+    own = np.repeat(np.arange(len(starts)), np.diff(np.concatenate([starts, [len(row)]])))
+    w = np.full((len(starts), h.shape[1]), 1.0 / h.shape[1])
+    for _ in range(rounds):
+        part = w[own] * h
+        part *= (v / (part.sum(axis=1) + 1e-12))[:, None]
+        w = np.add.reduceat(part, starts, axis=0) + prior
+        w /= w.sum(axis=1, keepdims=True) + 1e-12
+    return w
+
+
 def _languages(v: np.ndarray, langs: list[str | None]) -> np.ndarray:
     """A background group per document: its language where that is a frequent one, corrected by the nearest centre."""
     clean = [(x or "").strip().lower() for x in langs]
@@ -230,26 +250,21 @@ class SubjectModel:
             return np.zeros((len(texts), k))
         mention = np.cumsum(start) - 1
         places = np.flatnonzero(start)
-        total = np.zeros((len(places), k))
-        np.add.at(total, mention[inside], weight[inside])
-        subject = total.argmax(axis=1)
-        sentence = np.cumsum(a == -2)
-        sentence_of = sentence[places]
+        bears = np.zeros((len(places), k))
+        np.add.at(bears, mention[inside], weight[inside])
+        bears /= bears.sum(axis=1, keepdims=True)
+        # the document's mixture, then that of each of its sentences with the document's as prior; of mentions that
+        # weigh the same the first counts a little more
+        document = fold_in(bears, np.ones(len(places)), doc[places])
+        sentence_of = np.cumsum(a == -2)[places]
         keys, first = np.unique(sentence_of, return_index=True)
-        row = np.searchsorted(keys, sentence_of)
-        votes = np.zeros((len(keys), k))
-        np.add.at(votes, (row, subject), 1.0)
-        docs = doc[places[first]]
-        # the document's mixture from its clear sentences breaks ties, then the first mention
-        clear = np.zeros((len(texts), k))
-        top = votes.max(axis=1)
-        single = (votes == top[:, None]).sum(axis=1) == 1
-        np.add.at(clear, (docs[single], votes[single].argmax(axis=1)), 1.0)
-        prior = clear / (clear.sum(axis=1, keepdims=True) + 1.0)
-        tied = votes + 0.4 * prior[docs]
-        tied[np.arange(len(keys)), subject[first]] += 0.01
+        counts = np.ones(len(places))
+        counts[first] += 0.01
+        of = doc[places[first]]
+        docs, row = np.unique(of, return_inverse=True)
+        sentence = fold_in(bears, counts, sentence_of, PRIOR * document[row])
         out = np.zeros((len(texts), k))
-        np.add.at(out, (docs, tied.argmax(axis=1)), 1.0)
+        np.add.at(out, (of, sentence.argmax(axis=1)), 1.0)
         return out
 
 

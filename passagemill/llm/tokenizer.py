@@ -25,6 +25,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -194,12 +195,19 @@ def encoder(path: str) -> BytePairEncoder:
 
 
 def encode_corpus(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None) -> DataFrame:
-    """``id_col``, ids: one Arrow pass, no shuffle. ``vocabulary`` is a path every executor can read."""
-    path = vocabulary or default_vocabulary()
+    """``id_col``, ids: one Arrow pass, no shuffle.
+
+    ``vocabulary`` (or the setting ``spark.passagemill.vocabulary``) is the path of a rank file on the driver; it is shipped
+    with the job, so workers need no copy of their own.
+    """
+    spark = documents.sparkSession
+    path = vocabulary or spark.conf.get("spark.passagemill.vocabulary", None) or default_vocabulary()
+    spark.sparkContext.addFile(path)
+    name = os.path.basename(path)
     id_type = documents.schema[id_col].dataType.simpleString()
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = encoder(path)
+        bpe = encoder(SparkFiles.get(name))
         for batch in batches:
             for start in range(0, batch.num_rows, BLOCK):
                 part = batch.slice(start, BLOCK)

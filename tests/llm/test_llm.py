@@ -446,6 +446,19 @@ def test_leak_dirt(spark):
 
 # 10
 
+
+def test_folding_in_finds_the_best_mixture():
+    """Fixed columns, so the problem is convex: no other mixture explains the counts better."""
+    rng = np.random.default_rng(2)
+    h = rng.dirichlet([0.3] * 3, 12)
+    v = rng.integers(1, 5, 12).astype(float)
+    row = np.repeat([4, 9], 6)
+    w = subjects.fold_in(h, v, row, rounds=500)
+    loss = lambda mix, own: -(v[own] * np.log(h[own] @ mix)).sum()
+    for i, own in enumerate((slice(0, 6), slice(6, 12))):
+        assert all(loss(w[i], own) <= loss(other, own) + 1e-6 for other in rng.dirichlet([1] * 3, 500))
+
+
 VOCAB = {"imaging": ["contrast scan", "voxel intensity", "slice thickness", "mammogram"], "software": ["unit test", "memory leak", "stack trace", "checksum"], "exercise": ["gait speed", "rowing session", "grip strength", "crossfit"]}
 
 
