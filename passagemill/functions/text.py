@@ -81,6 +81,9 @@ def strip_tags(markup: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(markup, "<[^>]+>", " "), r"\s+", " "))
 
 
+#: White space between clauses, as what surrounds it says.
+CLAUSE_GAP = r"(?<=[.;:!?])\s+(?=[A-Z(\[])"
+
 #: Sentence ends as both engines can split them: a mark is put between the end and the next capital.
 MARK = "\u0001"
 
@@ -90,11 +93,6 @@ def clauses(text: Column) -> Column:
     return F.split(F.regexp_replace(text, r"([.;:!?])\s+([A-Z(\[])", "$1" + MARK + "$2"), MARK)
 
 
-def clause_offsets(parts: Column) -> Column:
-    """0-based start of every clause in its text, if clauses are one white-space character apart."""
-    return F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.aggregate(F.slice(parts, 1, i - 1), F.lit(0), lambda s, p: s + F.length(p) + 1))
-
-
 def numbers(text: Column) -> Column:
     """The numeric literals of a text, in order."""
     return F.regexp_extract_all(text, F.lit(r"(\b[0-9]+(?:[.,][0-9]+)?\b)"), F.lit(1))

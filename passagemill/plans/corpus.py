@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from passagemill.functions import text as tx
 from passagemill.operators import compare, labels, setjoin, structure
+from passagemill.operators.evidence import find_clauses
 from passagemill.operators.orphans import clean_id
 from passagemill.plans import tables as tb
 from passagemill.session import read, scratch_path, widen
@@ -82,13 +83,13 @@ def descriptor_gazetteer(spark: SparkSession, d: str) -> DataFrame:
     return src.build_gazetteer(m.select(F.col("record_id").alias("at"), F.col("m.ui").alias("code"), F.col("m.descriptor").alias("names")).distinct())
 
 
-@query("""SELECT DISTINCT CAST(record_id AS VARCHAR) AS doc_id, list_transform(list_filter(full_text_sections, lambda s: s IS NOT NULL AND length(trim(regexp_replace(regexp_replace(coalesce(s.text, ''), '<[^>]+>', ' ', 'g'), '\\s+', ' ', 'g'))) > 40 AND NOT regexp_matches(s.text, '<')), lambda s: trim(regexp_replace(s.text, '\\s+', ' ', 'g'))) AS texts
-FROM europepmc_records WHERE full_text_sections IS NOT NULL AND len(list_filter(full_text_sections, lambda s: s IS NOT NULL AND regexp_matches(coalesce(s.text, ''), '<'))) = 0""".replace("\\\\", "\\"))
+@query(r"""SELECT DISTINCT CAST(record_id AS VARCHAR) AS doc_id, list_filter(list_transform(list_filter(full_text_sections, lambda s: s IS NOT NULL), lambda s: trim(regexp_replace(coalesce(s.text, ''), '\s+', ' ', 'g'))), lambda x: length(x) > 40) AS texts
+FROM europepmc_records WHERE full_text_sections IS NOT NULL""")
 def article_xml_sections(spark: SparkSession, d: str) -> DataFrame:
     """Section texts of the records rendered as article XML and parsed back."""
     r = read(spark, d, "europepmc_records").where("full_text_sections IS NOT NULL").select("record_id", "full_text_sections").distinct()
-    r = r.where(~F.exists(F.col("full_text_sections"), lambda s: F.coalesce(F.contains(s["text"], F.lit("<")), F.lit(False))))
-    one = lambda s: F.concat(F.lit("<sec><title>"), F.coalesce(s["name"], F.lit("")), F.lit("</title><p>"), F.coalesce(s["text"], F.lit("")), F.lit("</p></sec>"))
+    escaped = lambda c: F.replace(F.replace(F.replace(F.coalesce(c, F.lit("")), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    one = lambda s: F.concat(F.lit("<sec><title>"), escaped(s["name"]), F.lit("</title><p>"), escaped(s["text"]), F.lit("</p></sec>"))
     xml = F.concat(F.lit("<article><body>"), F.array_join(F.transform(F.filter("full_text_sections", lambda s: s.isNotNull()), one), ""), F.lit("</body></article>"))
     parsed = src.parse_articles(r.select(F.col("record_id").cast("string").alias("doc_id"), xml.alias("xml")))
     return parsed.select("doc_id", F.transform("sections", lambda s: s["text"]).alias("texts"))
@@ -198,14 +199,32 @@ def passage_lengths(spark: SparkSession, d: str) -> DataFrame:
     return structure.length_profile(read(spark, d, "chunks").select("chunk_id", "text").distinct())
 
 
-@query()
+# Clauses and words with their places, as SQL: a mark before and one after the white space between clauses, so that pieces
+# keep their length; words and what is between them in turn.
+_CLAUSES = f"""{tb.P}, {tb.Q}, {tb.cand_sql('a', 'base')},
+b AS (SELECT query_id, unit_id, start_char, string_split(regexp_replace(body, '([.;:!?])(\\s+)([A-Z(\\[])', '\\1' || chr(1) || '\\2' || chr(2) || '\\3', 'g'), chr(1)) AS pieces FROM a JOIN p USING (unit_id)),
+n AS (SELECT query_id, unit_id, start_char, list_transform(pieces, lambda x: replace(x, chr(2), '')) AS pieces FROM b),
+l AS (SELECT query_id, unit_id, start_char, unnest(list_transform(range(1, len(pieces) + 1), lambda i: struct_pack(t := pieces[i], s := coalesce(list_sum(list_transform(pieces[1:i - 1], lambda x: length(x))), 0)))) AS c FROM n),
+t AS (SELECT query_id, unit_id, start_char, trim(c.t, chr(32) || chr(9) || chr(10) || chr(13)) AS clause, CAST(c.s + length(c.t) - length(ltrim(c.t, chr(32) || chr(9) || chr(10) || chr(13))) AS INTEGER) AS s FROM l),
+k AS (SELECT t.*, list_distinct({tb.tok('q.query')}) AS qt, {tb.tok('clause')} AS ct FROM t JOIN q USING (query_id) WHERE clause <> ''),
+h AS (SELECT *, len(list_intersect(qt, ct)) AS hit, len(list_filter(qt, lambda t: {tb.literal('t')})) AS nl, len(list_filter(list_intersect(qt, ct), lambda t: {tb.literal('t')})) AS hl FROM k),
+z AS (SELECT *, round((hit / len(qt) + CASE WHEN nl > 0 THEN 1.5 * hl / nl ELSE 0 END) / (1 + ln(greatest(len(ct) / 25.0, 1) + 1)), 4) AS score FROM h WHERE hit > 0),
+best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, unit_id ORDER BY score DESC, s) AS rank FROM z) WHERE rank <= 3)"""
+
+
+@query(f"""WITH {_CLAUSES},
+w AS (SELECT *, regexp_extract_all(clause, '[\\p{{L}}\\p{{N}}_\\-/+]+') AS words, regexp_split_to_array(clause, '[\\p{{L}}\\p{{N}}_\\-/+]+') AS gaps, coalesce(start_char, 0) + s AS plc FROM best),
+x AS (SELECT *, list_transform(range(1, len(words) + 1), lambda i: struct_pack(w := words[i], s := coalesce(list_sum(list_transform(gaps[1:i], lambda g: length(g))), 0) + coalesce(list_sum(list_transform(words[1:i - 1], lambda v: length(v))), 0))) AS placed FROM w),
+y AS (SELECT *, list_filter(placed, lambda v: list_has_any({tb.tok('v.w')}, qt)) AS hits FROM x)
+SELECT query_id, unit_id, CAST(rank AS INTEGER) AS rank, clause, CAST(plc AS INTEGER) AS start, CAST(plc + length(clause) AS INTEGER) AS "end", score,
+  array_to_string(list_transform(hits, lambda v: (plc + v.s)::BIGINT::VARCHAR || '-' || (plc + v.s + length(v.w))::BIGINT::VARCHAR), ' ') AS spans FROM y""")
 def clause_spans(spark: SparkSession, d: str) -> DataFrame:
     """The best clauses of each candidate passage with the offsets of their matched words."""
-    from passagemill.operators.evidence import find_clauses
-
     run = tb.candidate_run(spark, d, "base").select("query_id", "unit_id")
     pairs = run.join(tb.search_queries(spark, d).select("query_id", "query"), "query_id").join(tb.passages(spark, d).select("unit_id", "body", "start_char"), "unit_id")
-    return find_clauses(pairs)
+    each = find_clauses(pairs).select("query_id", "unit_id", F.posexplode("clauses").alias("at", "c"))
+    spans = F.array_join(F.transform("c.spans", lambda w: F.concat_ws("-", w["start"], w["end"])), " ")
+    return each.select("query_id", "unit_id", (F.col("at") + 1).alias("rank"), F.col("c.text").alias("clause"), F.col("c.start").alias("start"), F.col("c.end").alias("end"), F.col("c.score").alias("score"), spans.alias("spans"))
 
 
 # labels

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from passagemill.functions import text as tx
-from passagemill.operators import dense, fusion, lexical, rerank
+from passagemill.operators import dense, evidence, fusion, lexical, rerank
 from passagemill.plans import tables as tb
 from passagemill.session import read, spread
 
@@ -328,10 +328,10 @@ def rerank_features(spark: SparkSession, d: str) -> DataFrame:
     return rerank.features(spread(_pairs(spark, d), "query_id")).select("query_id", "unit_id", "coverage", "proximity", "phrase", "literal", "thesis")
 
 
-@query(f"""WITH {_FEATURES}, h AS (SELECT *, count(*) OVER (PARTITION BY query_id) AS n FROM f WHERE rank <= 10),
+@query(f"""WITH {_FEATURES}, h AS (SELECT *, count(*) OVER (PARTITION BY query_id) AS n FROM f WHERE rank <= 100),
 s AS (SELECT query_id, unit_id, round((n - rank + 1) / n + coverage + 0.5 * proximity + phrase + literal + 0.25 * thesis, 6) AS score FROM h),
 fl AS (SELECT query_id, min(score) AS low FROM s GROUP BY 1),
-u AS (SELECT * FROM s UNION ALL SELECT query_id, unit_id, round(low - 1e-6 * (rank - 10), 6) FROM a JOIN fl USING (query_id) WHERE rank > 10)
+u AS (SELECT * FROM s UNION ALL SELECT query_id, unit_id, round(low - 1e-6 * (rank - 100), 6) FROM a JOIN fl USING (query_id) WHERE rank > 100)
 SELECT query_id, unit_id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, unit_id) AS INTEGER) AS rank FROM u""")
 def reranked(spark: SparkSession, d: str) -> DataFrame:
     """The first hundred candidates rescored by features, the rest in order below."""
@@ -341,7 +341,7 @@ def reranked(spark: SparkSession, d: str) -> DataFrame:
 # the whole search
 
 
-_HYBRID = f"""{tb.index_sql(50)}, {tb.DENSE}, fused AS (SELECT query_id, unit_id, round(sum(1.0 / (60 + rank)), 6) AS score, min(lr) AS lex_rank, min(dr) AS dense_rank FROM (
+_HYBRID = f"""{tb.index_sql(200)}, {tb.DENSE_200}, fused AS (SELECT query_id, unit_id, round(sum(1.0 / (60 + rank)), 6) AS score, min(lr) AS lex_rank, min(dr) AS dense_rank FROM (
   SELECT query_id, unit_id, rank, rank AS lr, NULL AS dr FROM lex UNION ALL SELECT query_id, unit_id, rank, NULL, rank FROM dense) GROUP BY 1, 2),
 best AS (SELECT * FROM (SELECT query_id, doc_id, unit_id, f.score, lex_rank, dense_rank, section, start_char, end_char, row_number() OVER (PARTITION BY query_id, doc_id ORDER BY f.score DESC, unit_id) AS r FROM fused f JOIN p USING (unit_id) WHERE doc_id IS NOT NULL) WHERE r = 1)"""
 
@@ -372,21 +372,17 @@ def facet_search(spark: SparkSession, d: str) -> DataFrame:
     return tb.documents_meta(spark, d).where(F.arrays_overlap("descriptors", wanted)).select("doc_id", "year", "title").orderBy(F.desc_nulls_last("year"), "doc_id")
 
 
-@query(f"""WITH {tb.P}, {tb.Q}, {_A}, c AS (SELECT query_id, unit_id, unnest(list_filter(string_split(regexp_replace(body, '([.;:!?])\\s+([A-Z(\\[])', '\\1' || chr(1) || '\\2', 'g'), chr(1)), lambda x: trim(x) <> '')) AS clause FROM a JOIN p USING (unit_id) WHERE rank <= 5),
+@query(f"""WITH {tb.P}, {tb.Q}, {_A}, c AS (SELECT query_id, unit_id, unnest(list_filter(string_split(regexp_replace(body, '([.;:!?])\\s+([A-Z(\\[])', '\\1' || chr(1) || '\\2', 'g'), chr(1)), lambda x: trim(x) <> '')) AS clause FROM a JOIN p USING (unit_id)),
 k AS (SELECT DISTINCT query_id, unit_id, clause, list_distinct({tb.tok('q.query')}) AS qt, {tb.tok('clause')} AS ct FROM c JOIN q USING (query_id)),
 s AS (SELECT query_id, unit_id, clause, len(list_intersect(qt, ct)) AS hit, len(qt) AS nq, len(ct) AS nc, len(list_filter(qt, lambda t: {tb.literal('t')})) AS nl, len(list_filter(list_intersect(qt, ct), lambda t: {tb.literal('t')})) AS hl FROM k),
 z AS (SELECT query_id, unit_id, clause, round((hit / nq + CASE WHEN nl > 0 THEN 1.5 * hl / nl ELSE 0 END) / (1 + ln(greatest(nc / 25.0, 1) + 1)), 4) AS score FROM s WHERE hit > 0)
 SELECT query_id, unit_id, clause, score, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id, unit_id ORDER BY score DESC, clause) AS rank FROM z) WHERE rank <= 3""")
 def evidence_clauses(spark: SparkSession, d: str) -> DataFrame:
-    """The three clauses of each of the first five passages that answer its query best."""
-    run = _run(spark, d, "base").where("rank <= 5").select("query_id", "unit_id")
+    """The three clauses of each candidate passage that answer its query best."""
+    run = _run(spark, d, "base").select("query_id", "unit_id")
     parts = run.join(tb.passages(spark, d).select("unit_id", "body"), "unit_id").select("query_id", "unit_id", F.explode(tx.clauses(F.col("body"))).alias("clause"))
     k = parts.where(F.trim("clause") != "").distinct().join(tb.search_queries(spark, d).select("query_id", "query"), "query_id")
-    k = k.withColumn("qt", F.array_distinct(tx.tokenize(F.col("query")))).withColumn("ct", tx.tokenize(F.col("clause"))).withColumn("hit", F.array_intersect("qt", "ct"))
-    lits = F.size(F.filter("qt", tx.is_rare_literal))
-    bonus = F.when(lits > 0, 1.5 * F.size(F.filter("hit", tx.is_rare_literal)) / lits).otherwise(0.0)
-    damp = 1.0 + F.log(F.greatest(F.size("ct") / 25.0, F.lit(1.0)) + 1.0)
-    s = k.where(F.size("hit") > 0).select("query_id", "unit_id", "clause", F.round((F.size("hit") / F.size("qt") + bonus) / damp, 4).alias("score"))
+    s = k.select("query_id", "unit_id", "clause", evidence.clause_score(F.array_distinct(tx.tokenize(F.col("query"))), tx.tokenize(F.col("clause"))).alias("score")).where("score > 0")
     w = Window.partitionBy("query_id", "unit_id").orderBy(F.desc("score"), "clause")
     return s.withColumn("rank", F.row_number().over(w)).where("rank <= 3")
 

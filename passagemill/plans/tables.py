@@ -110,3 +110,4 @@ uv AS (SELECT DISTINCT chunk_id AS unit_id, CAST(embedding AS DOUBLE[]) AS b FRO
 dense AS (SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, unit_id) AS INTEGER) AS rank FROM (
   SELECT query_id, unit_id, round(list_dot_product(a, b) / (sqrt(list_dot_product(a, a)) * sqrt(list_dot_product(b, b))), 6) AS score FROM qv, uv
   WHERE list_dot_product(a, a) > 0 AND list_dot_product(b, b) > 0)) WHERE rank <= 50)"""
+DENSE_200 = DENSE.replace("rank <= 50", "rank <= 200")

@@ -57,20 +57,23 @@ def test_model_places(spark):
 
 
 def test_clause_offsets(spark):
-    body = "Nothing here. The EGFR C797S mutation drove resistance; Other words followed."
-    got = evidence.clauses(body, "EGFR C797S resistance", base=100)
-    assert body[got[0]["start"] - 100 : got[0]["end"] - 100] == got[0]["text"] == "The EGFR C797S mutation drove resistance;"
-    assert [body[s["start"] - 100 : s["end"] - 100] for s in got[0]["spans"]] == ["EGFR", "C797S", "resistance"]
-    df = spark.createDataFrame([("q", "u", "EGFR", body, None), ("q", "v", None, None, 1)], "query_id string, unit_id string, query string, body string, start_char int")
-    assert {r["unit_id"]: len(r["clauses"]) for r in evidence.find_clauses(df).collect()} == {"u": 1, "v": 0}
-
-
-def test_tokens_agree(spark):
-    from passagemill.functions.text import tokenize
-
-    texts = ["The PD-L1/PD-1 axis, IL-6 -x- and T790M", "a b2 of L1 ß-actin", "x/ y+z 12-34", ""]
-    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", tokenize(F.col("t")).alias("k")).collect()
-    assert all(evidence.tokens(r["t"]) == r["k"] for r in rows)
+    body = "Nothing here. The EGFR C797S mutation drove resistance;  Other words followed. (Late) PD-L1/PD-1 resistance! No"
+    rows = [("q", "u", "EGFR C797S resistance L1", body, 100), ("q", "v", None, None, 1), ("q", "w", "EGFR", "", None), ("q", "x", "other", " \n" + body, None)]
+    got = {r["unit_id"]: r["clauses"] for r in evidence.find_clauses(spark.createDataFrame(rows, "query_id string, unit_id string, query string, body string, start_char int")).collect()}
+    assert got["v"] == got["w"] == []
+    first, second = got["u"]
+    assert body[first["start"] - 100 : first["end"] - 100] == first["text"] == "The EGFR C797S mutation drove resistance;"
+    assert [body[s["start"] - 100 : s["end"] - 100] for s in first["spans"]] == ["EGFR", "C797S", "resistance"]
+    assert body[second["start"] - 100 : second["end"] - 100] == second["text"] == "(Late) PD-L1/PD-1 resistance!"
+    assert [body[s["start"] - 100 : s["end"] - 100] for s in second["spans"]] == ["PD-L1/PD-1", "resistance"]
+    assert [(c["text"], c["start"]) for c in got["x"]] == [("Other words followed.", 2 + body.index("Other"))]
+
+
+def test_highlighted(spark):
+    text = "Response to blockade  was\nlimited in tumours that lacked the antigen."
+    rows = [(1, text, "response to blockade was limited in tumours"), (2, text, "response to blockade"), (3, text, "response to blockade was never limited in tumours"), (4, None, "x" * 30)]
+    got = {r["i"] for r in spark.createDataFrame(rows, "i int, p string, q string").where(evidence.highlighted(F.col("p"), F.col("q"))).collect()}
+    assert got == {1}
 
 
 def test_vector_axes(spark):
