@@ -1,5 +1,6 @@
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -123,7 +124,7 @@ def test_reference_lists_and_chunks(spark):
     assert all(r["text"] == text[r["start_char"] : r["end_char"]] for r in df.collect()) and df.count() == len(got)
     assert one(spark, structure.density(F.col("t")), t=refs) > 0.55 > one(spark, structure.density(F.col("t")), t=body[0])
     assert one(spark, structure.density(F.col("t")), t=" \n") == 0.0
-    assert structure.count_signals(refs).density() == pytest.approx(one(spark, structure.density(F.col("t")), t=refs), abs=1e-9)
+    assert structure.densities(np.array([structure.count_signals(refs)]))[0] == pytest.approx(one(spark, structure.density(F.col("t")), t=refs), abs=1e-9)
 
 
 def test_labels_against_the_ordered_pass(spark):
