@@ -135,6 +135,18 @@ def p6_pieces(spark: SparkSession, d: str) -> DataFrame:
     return splitting.split_items(read(spark, d, "chunks"))
 
 
+# cosine of every pair, for the scale of the check
+ORACLE["p5_found"] = """WITH v AS (SELECT DISTINCT chunk_id, CAST(embedding AS DOUBLE[]) AS e FROM chunks WHERE embedding IS NOT NULL AND chunk_id IS NOT NULL),
+n AS (SELECT chunk_id, e, sqrt(list_dot_product(e, e)) AS s FROM v WHERE list_dot_product(e, e) > 0)
+SELECT DISTINCT a.chunk_id AS chunk_lo, b.chunk_id AS chunk_hi FROM n a JOIN n b ON a.chunk_id < b.chunk_id WHERE list_dot_product(a.e, b.e) / (a.s * b.s) >= 0.9"""
+# marks stand for the white space between sentences, as the pattern cannot look around
+_STRETCHES = lambda parts: f"list_max(list_transform({parts}, lambda x: length(trim(x, chr(32) || chr(9) || chr(10) || chr(13)))))"
+ORACLE["p6_found"] = rf"""WITH c AS (SELECT DISTINCT chunk_id, text, regexp_replace(text, '([.!?])[ 	
+]+([A-Z(])', '' || chr(1) || '', 'g') AS marked FROM chunks WHERE length(text) > 1600)
+SELECT DISTINCT chunk_id, CASE WHEN {_STRETCHES("regexp_split_to_array(text, '\n[ \t\r]*\n')")} <= 1600 THEN 'paragraph' WHEN {_STRETCHES("regexp_split_to_array(marked, '\n[ \t\r]*\n|\x01')")} <= 1600 THEN 'sentence'
+  WHEN {_STRETCHES("regexp_split_to_array(text, '[ \t\r\n]+')")} <= 1600 THEN 'space' ELSE 'none' END AS boundary FROM c"""
+
+
 # 7. Same or near-same records across splits
 
 
