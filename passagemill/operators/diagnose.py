@@ -78,6 +78,12 @@ def oracle_run(qrels: DataFrame, k: int = 50) -> DataFrame:
     return qrels.where("grade >= 1").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "doc_id", "rank")
 
 
+def random_run(run: DataFrame) -> DataFrame:
+    """The documents of each query of a run in an order given by a hash, equal in any engine."""
+    w = Window.partitionBy("query_id").orderBy(F.md5(F.concat_ws("|", "query_id", "doc_id")), "doc_id")
+    return run.select("query_id", "doc_id").withColumn("rank", F.row_number().over(w))
+
+
 def sanity(scores: dict[str, float]) -> list[str]:
     """What the floors say against a benchmark, from the primary metric of random, popularity, length, raw_tf, oracle."""
     s = {k: scores.get(k, 0.0) for k in ("random", "popularity", "length", "raw_tf", "oracle")}

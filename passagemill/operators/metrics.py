@@ -149,3 +149,27 @@ def recall_curve(queries: DataFrame, run: DataFrame, qrels: DataFrame, depths: t
     per = hit.groupBy("query_id").agg(F.count(F.lit(1)).alias("r"), *[F.sum(F.when(F.col("rank") <= k, 1).otherwise(0)).alias(f"h{k}") for k in depths])
     each = F.explode(F.array(*[F.struct(F.lit(k).alias("depth"), (F.col(f"h{k}") / F.col("r")).alias("recall")) for k in depths]))
     return per.select(each.alias("e")).groupBy("e.depth").agg(F.round(F.avg("e.recall"), 6).alias("recall"), F.sum(F.when(F.col("e.recall") > 0, 1).otherwise(0)).alias("found"))
+
+
+def report(means: DataFrame, floors: DataFrame, limits: DataFrame, docs: DataFrame) -> DataFrame:
+    """part, stratum, name, value, n: means (stratum, metric, mean, n), floors (floor, mean), the mean bounds of ndcg and the size of the corpus."""
+    null = F.lit(None).cast("long")
+    bound = limits.agg(*[F.round(F.avg(c), 6).alias(c) for c in ("ndcg_lo", "ndcg_hi")], F.count(F.lit(1)).alias("n"))
+    size = docs.agg(F.count(F.lit(1)).alias("n"))
+    parts = [
+        means.select(F.lit("mean").alias("part"), "stratum", F.col("metric").alias("name"), F.col("mean").alias("value"), "n"),
+        floors.select(F.lit("floor").alias("part"), F.lit("*").alias("stratum"), F.col("floor").alias("name"), F.col("mean").alias("value"), null.alias("n")),
+        *(bound.select(F.lit("bound").alias("part"), F.lit("*").alias("stratum"), F.lit(c).alias("name"), F.col(c).alias("value"), "n") for c in ("ndcg_lo", "ndcg_hi")),
+        size.select(F.lit("corpus").alias("part"), F.lit("*").alias("stratum"), F.lit("documents").alias("name"), F.col("n").cast("double").alias("value"), "n"),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def applies(report_rows: DataFrame, docs: DataFrame, tolerance: float = 0.02) -> bool:
+    """Whether a report was made over a corpus of about the present size."""
+    then = report_rows.where("part = 'corpus' AND name = 'documents'").select("n").first()
+    now = docs.count()
+    return then is not None and abs(then["n"] - now) <= tolerance * max(now, 1)

@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 ALPHA, MIN_EFFECT, UNJUDGED_TOLERANCE = 0.05, 0.005, 0.02
 TIE = 1e-9
 PERMUTATIONS, RESAMPLES = 20_000, 10_000
+#: Queries whose signs and weights are drawn at once.
+RESAMPLE_BLOCK = 64
 # Gate limits.
 CONSENSUS_MIN, STRATUM_TOLERANCE, UNJUDGED_SPIKE, UNJUDGED_MAX = 4, 0.02, 0.15, 0.35
 CONSENSUS = ("mrr", "success_1", "success_5", "success_10", "success_20")
@@ -48,10 +50,10 @@ def compare(pairs: DataFrame, by: list[str]) -> DataFrame:
     return g.select(*by, "n", six("ma", "mean_a"), six("mb", "mean_b"), six("d", "delta"), six("sd", "sd"), six(F.when(F.col("sd") > 0, F.col("d") / F.col("sd")).otherwise(0.0), "effect"), "wins", "losses", "ties")
 
 
-def _noise(name: str, iterations: int) -> np.ndarray:
-    """64 random bits per iteration, a function of the query and the iteration only."""
-    start = np.uint64(zlib.crc32(name.encode()) * 0x9E3779B97F4A7C15 % 2**64)
-    x = (np.arange(iterations, dtype=np.uint64) + start) * np.uint64(0xBF58476D1CE4E5B9)
+def _noise(names: np.ndarray, iterations: int) -> np.ndarray:
+    """64 random bits per query (row) and iteration, a function of these two only."""
+    start = np.array([zlib.crc32(n.encode()) * 0x9E3779B97F4A7C15 % 2**64 for n in names], dtype=np.uint64)
+    x = (np.arange(iterations, dtype=np.uint64)[None, :] + start[:, None]) * np.uint64(0xBF58476D1CE4E5B9)
     x ^= x >> np.uint64(27)
     x *= np.uint64(0x94D049BB133111EB)
     return x ^ (x >> np.uint64(31))
@@ -66,17 +68,21 @@ def resample(pairs: DataFrame, by: str = "metric", permutations: int = PERMUTATI
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, list] = {}
+        most = max(permutations, resamples)
         for batch in batches:
-            for name, group, diff in zip(*(c.to_pylist() for c in batch.columns)):
+            names, groups, diffs = (np.array(c.to_pylist(), dtype=t) for c, t in zip(batch.columns, (object, object, np.float64)))
+            for group in sorted(set(groups)):
                 row = held.setdefault(group, [0, 0.0, np.zeros(permutations), np.zeros(resamples), np.zeros(resamples)])
-                bits = _noise(name, max(permutations, resamples))
-                row[0] += 1
-                row[1] += diff
-                row[2] += np.where(bits[:permutations] & np.uint64(1), diff, -diff)
-                u = (bits[:resamples] >> np.uint64(11)).astype(np.float64) / 2.0**53
-                w = np.searchsorted(_POISSON, u)  # Poisson(1) weights
-                row[3] += w * diff
-                row[4] += w
+                own = np.flatnonzero(groups == group)
+                row[0] += len(own)
+                row[1] += float(diffs[own].sum())
+                for a in range(0, len(own), RESAMPLE_BLOCK):
+                    at = own[a : a + RESAMPLE_BLOCK]
+                    bits, d = _noise(names[at], most), diffs[at]
+                    row[2] += d @ ((bits[:, :permutations] & np.uint64(1)).astype(np.float32) * np.float32(2) - np.float32(1))
+                    w = np.searchsorted(_POISSON, (bits[:, :resamples] >> np.uint64(11)).astype(np.float64) / 2.0**53)  # Poisson(1) weights
+                    row[3] += d @ w
+                    row[4] += w.sum(axis=0)
         keys = list(held)
         arrays = [pa.array(keys, pa.string()), pa.array([held[k][0] for k in keys], pa.int64()), pa.array([held[k][1] for k in keys], pa.float64())]
         arrays += [pa.array([held[k][i].tolist() for k in keys], pa.list_(pa.float64())) for i in (2, 3, 4)]
@@ -123,6 +129,15 @@ def holm(tests: DataFrame, alpha: float = ALPHA, p: str = "p", order: str = "nam
     return t.withColumn("passed", ok == 1)
 
 
+def sign_bound(wins: Column, losses: Column) -> Column:
+    """An upper bound of the two-sided sign test's p-value, by Hoeffding: 2 exp(-(wins - losses)^2 / 2 (wins + losses)).
+
+    For decisions that need no resampling; 1 where nothing was won or lost.
+    """
+    n = wins + losses
+    return F.when(n > 0, F.least(F.lit(1.0), F.lit(2.0) * F.exp(-F.pow(wins - losses, F.lit(2.0)) / (F.lit(2.0) * n)))).otherwise(1.0)
+
+
 def adjusted_alpha(base: float, family: int) -> float:
     """Bonferroni within a family."""
     return base / max(1, family)
@@ -135,11 +150,11 @@ def gate_metric(stratum: str, candidate: str) -> str:
     return PRIMARY_METRIC.get(stratum, "mrr")
 
 
-def composite(means: DataFrame) -> DataFrame:
+def composite(means: DataFrame, weights: dict[str, float] = STRATUM_WEIGHTS, primary: dict[str, str] = PRIMARY_METRIC) -> DataFrame:
     """run, composite: weighted sum of each stratum's primary metric; null where a stratum is missing (means: run, stratum, metric, mean)."""
-    table = means.sparkSession.createDataFrame([(s, PRIMARY_METRIC[s], w) for s, w in STRATUM_WEIGHTS.items()], "stratum string, metric string, weight double")
+    table = means.sparkSession.createDataFrame([(s, primary[s], w) for s, w in weights.items()], "stratum string, metric string, weight double")
     g = means.join(F.broadcast(table), ["stratum", "metric"]).groupBy("run").agg(F.sum(F.col("mean") * F.col("weight")).alias("s"), F.countDistinct("stratum").alias("k"))
-    return g.select("run", F.round(F.when(F.col("k") == len(STRATUM_WEIGHTS), F.col("s")), 6).alias("composite"))
+    return g.select("run", F.round(F.when(F.col("k") == len(weights), F.col("s")), 6).alias("composite"))
 
 
 def dominance_verdict(results: DataFrame, alpha: float = ALPHA, least: float = MIN_EFFECT) -> DataFrame:

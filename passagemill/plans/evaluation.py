@@ -234,10 +234,160 @@ def oracle_ceiling(spark: SparkSession, d: str) -> DataFrame:
     return metrics.panel(q, diagnose.oracle_run(rel), rel).select("query_id", "ndcg_10", "mrr")
 
 
-@query()
+@query(_floor_sql("fr AS (SELECT query_id, doc_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY md5(query_id || '|' || doc_id), doc_id) AS INTEGER) AS rank FROM ra)"))
 def random_floor(spark: SparkSession, d: str) -> DataFrame:
     """Candidates in an order given by a hash of query and document."""
     q, rel = judged_queries(spark, d), tb.qrels(spark, d)
-    w = Window.partitionBy("query_id").orderBy(F.xxhash64("query_id", "doc_id"), "doc_id")
-    run = doc_run(spark, d, "base").select("query_id", "doc_id").withColumn("rank", F.row_number().over(w))
-    return metrics.panel(q, run, rel).select("query_id", "ndcg_10", "mrr")
+    return metrics.panel(q, diagnose.random_run(doc_run(spark, d, "base")), rel).select("query_id", "ndcg_10", "mrr")
+
+
+# decisions
+
+_BOUND = "round(CASE WHEN wins + losses > 0 THEN least(1.0, 2.0 * exp(-pow(wins - losses, 2) / (2.0 * (wins + losses)))) ELSE 1.0 END, 6)"
+_TESTED = f"{_PAIRED}, ov AS (SELECT *, {_BOUND} AS p FROM ({_compare_sql('metric')})), st AS (SELECT *, {_BOUND} AS p FROM ({_compare_sql('stratum, metric')}))"
+
+
+def _tested(spark: SparkSession, d: str, by: list[str]) -> DataFrame:
+    """The comparison of the two runs with the bound of the sign test as p."""
+    return stats.compare(_pairs(spark, d), by).withColumn("p", F.round(stats.sign_bound(F.col("wins"), F.col("losses")), 6))
+
+
+@query(f"""WITH {_TESTED}, r AS (SELECT metric, p, 0.05 / (count(*) OVER () - row_number() OVER (ORDER BY p, metric) + 1) AS threshold, row_number() OVER (ORDER BY p, metric) AS i FROM ov)
+SELECT metric, p, threshold, min(CASE WHEN p < threshold THEN 1 ELSE 0 END) OVER (ORDER BY i) = 1 AS passed FROM r""")
+def holm_decisions(spark: SparkSession, d: str) -> DataFrame:
+    """Holm's procedure over the metrics' sign-test bounds."""
+    return stats.holm(_tested(spark, d, ["metric"]).select("metric", "p"), order="metric")
+
+
+@query(f"""WITH {_TESTED}, m AS (SELECT * FROM st WHERE metric = 'ndcg_10'), l AS (SELECT 0.05 / 3 AS level),
+s AS (SELECT coalesce(stratum, 'None') AS stratum, delta, p, CASE WHEN n > 1 AND sd > 0 THEN (1.959963985 + 0.8416212336) * sd / sqrt(n) END AS mde FROM m),
+c AS (SELECT * FROM ov WHERE metric IN ('mrr', 'success_1', 'success_5', 'success_10', 'success_20'))
+SELECT 'ndcg_10 did not improve' AS blocker FROM ov WHERE metric = 'ndcg_10' AND delta <= 0
+UNION ALL SELECT 'ndcg_10 not significant at 0.01667' FROM ov, l WHERE metric = 'ndcg_10' AND delta > 0 AND p >= level
+UNION ALL SELECT 'metric consensus too weak' FROM c HAVING count(*) FILTER (delta > 0) < 4
+UNION ALL SELECT metric || ' significantly worse' FROM c, l WHERE delta < 0 AND p < level
+UNION ALL SELECT 'stratum ' || stratum || ' regressed' FROM s, l WHERE delta < -0.02 AND p < level
+UNION ALL SELECT 'stratum ' || stratum || ' underpowered' FROM s WHERE mde > 0.02
+UNION ALL SELECT 'pool too shallow' FROM ov WHERE metric = 'unjudged_10' AND mean_b > 0.35
+UNION ALL SELECT 'measurement unreliable' FROM ov WHERE metric = 'unjudged_10' AND delta > 0.15""")
+def promotion_blockers(spark: SparkSession, d: str) -> DataFrame:
+    """What keeps the second run from replacing the first, as one of a family of three candidates."""
+    by_stratum = _tested(spark, d, ["stratum", "metric"]).where("metric = 'ndcg_10'").withColumn("mde", stats.detectable_effect(F.col("n"), F.col("sd")))
+    decided = stats.gate(_tested(spark, d, ["metric"]), by_stratum, 3)
+    return spark.createDataFrame([(b,) for b in decided["blockers"]], "blocker string")
+
+
+# weights and primary metrics of the strata of these queries
+_WEIGHTS = {"citation_ctx": 0.4, "lexical": 0.3, "paraphrase": 0.2, "conceptual": 0.1}
+_PRIMARY = {"citation_ctx": "recall_20", "lexical": "success_1", "paraphrase": "mrr", "conceptual": "success_5"}
+
+
+@query(f"""WITH {_PAIRED}, w(stratum, metric, weight) AS (VALUES {", ".join(f"('{s}', '{_PRIMARY[s]}', {w})" for s, w in _WEIGHTS.items())}),
+x AS (SELECT 'a' AS run, stratum, metric, round(avg(value), 6) AS mean FROM la GROUP BY ALL UNION ALL SELECT 'b', stratum, metric, round(avg(value), 6) FROM lb GROUP BY ALL)
+SELECT run, round(CASE WHEN count(DISTINCT stratum) = 4 THEN sum(mean * weight) END, 6) AS composite FROM x JOIN w USING (stratum, metric) GROUP BY 1""")
+def composite_scores(spark: SparkSession, d: str) -> DataFrame:
+    """One weighted score of each run over its strata."""
+    means = lambda s, run: metrics.averages(metrics.to_long(_panel(spark, d, s), list(LONG))).withColumn("run", F.lit(run))
+    return stats.composite(means("base", "a").unionByName(means("coverage", "b")), _WEIGHTS, _PRIMARY)
+
+
+@query(f"""WITH {_TESTED}, x AS (SELECT p < 0.05 AND delta >= 0.005 AS up, p < 0.05 AND delta <= -0.005 AS down FROM st)
+SELECT count(*) FILTER (up) AS improved, count(*) FILTER (down) AS regressed, count(*) FILTER (NOT up AND NOT down) AS unchanged, count(*) FILTER (up) > 0 AND count(*) FILTER (down) = 0 AS promoted FROM x""")
+def dominance_decision(spark: SparkSession, d: str) -> DataFrame:
+    """Better somewhere and worse nowhere, over all strata and metrics."""
+    return stats.dominance_verdict(_tested(spark, d, ["stratum", "metric"]))
+
+
+_HYPOTHESES = [
+    ("coverage helps wording", "lexical", "ndcg_10", "up", 0.01, False, ["conceptual"]), ("coverage hurts paraphrases", "paraphrase", "mrr", "down", 0.01, False, ["citation_ctx"]),
+    ("coverage finds more", "citation_ctx", "recall_20", "up", 0.01, False, []), ("coverage leaves contexts first", "citation_ctx", "success_1", "down", 0.005, False, ["lexical"]),
+    ("nothing changes", "multi_hop", "ap", "up", 0.01, True, []), ("no such stratum", "synthesis", "ap", "up", 0.01, False, ["conceptual"]),
+]
+
+
+@query(f"""WITH {_TESTED}, h(name, stratum, metric, direction, min_effect, no_effect, null_strata) AS (VALUES {", ".join(f"('{n}', '{s}', '{m}', '{way}', {e}, {str(same).lower()}, CAST({stay!r} AS VARCHAR[]))" for n, s, m, way, e, same, stay in _HYPOTHESES)}),
+mv AS (SELECT DISTINCT name FROM (SELECT name, min_effect, unnest(null_strata) AS stratum FROM h) JOIN st USING (stratum) WHERE p < 0.05 AND abs(delta) >= min_effect),
+v AS (SELECT h.*, delta, p, CASE WHEN direction = 'up' THEN delta >= min_effect ELSE delta <= -min_effect END AS far, h.name IN (SELECT name FROM mv) AS surprise FROM h LEFT JOIN st USING (stratum, metric))
+SELECT name, CASE WHEN no_effect THEN 'NO_EFFECT' WHEN delta IS NULL THEN 'UNTESTED' WHEN far AND p < 0.05 THEN 'CONFIRMED' WHEN surprise THEN 'SURPRISE' ELSE 'REFUTED' END AS verdict FROM v""")
+def hypothesis_verdicts(spark: SparkSession, d: str) -> DataFrame:
+    """Predictions about the second run against what was observed."""
+    h = spark.createDataFrame(_HYPOTHESES, "name string, stratum string, metric string, direction string, min_effect double, no_effect boolean, null_strata array<string>")
+    return stats.classify(h, _tested(spark, d, ["stratum", "metric"]))
+
+
+_LEDGER = f"""{_PAIRED}, {_doc_sql('rc', 'proximity')}, {_panel_sql('rc', 'pc')}, {_long_sql('pc', 'lc')},
+c1 AS ({_compare_sql('stratum, metric')}), pr2 AS (SELECT la.query_id, la.stratum, metric, la.value AS a, lc.value AS b, lc.value - la.value AS diff FROM la JOIN lc USING (query_id, metric)),
+c2 AS ({_compare_sql('stratum, metric').replace('FROM pr ', 'FROM pr2 ')}),
+k AS (SELECT stratum, metric, n, delta - 1.959964 * sd / sqrt(n) AS ci_low, delta + 1.959964 * sd / sqrt(n) AS ci_high FROM (SELECT * FROM c1 UNION ALL SELECT * FROM c2)),
+sp AS (SELECT stratum, metric, round(sd, 6) AS sd FROM (SELECT stratum, metric, (ci_high - ci_low) * sqrt(n) / 3.919928 AS sd, row_number() OVER (PARTITION BY stratum, metric ORDER BY (ci_high - ci_low) * sqrt(n) / 3.919928) AS r, count(*) OVER (PARTITION BY stratum, metric) AS m FROM k) WHERE r = m // 2 + 1)"""
+
+
+def _spreads(spark: SparkSession, d: str) -> DataFrame:
+    long = lambda s: metrics.to_long(_panel(spark, d, s), list(LONG))
+    base = long("base")
+    recorded = [stats.compare(stats.paired(base, long(s)), ["stratum", "metric"]) for s in ("coverage", "proximity")]
+    half = 1.959964 * F.col("sd") / F.sqrt("n")
+    return stats.spread_table(recorded[0].unionByName(recorded[1]).withColumn("ci_low", F.col("delta") - half).withColumn("ci_high", F.col("delta") + half))
+
+
+@query(f"WITH {_LEDGER} SELECT * FROM sp")
+def recorded_spreads(spark: SparkSession, d: str) -> DataFrame:
+    """The usual spread of every stratum and metric, from the intervals of the comparisons made so far."""
+    return _spreads(spark, d)
+
+
+@query(f"""WITH {_LEDGER}, z AS (SELECT unnest([50, 100, 200, 500, 1000, 2000]) AS size)
+SELECT stratum, metric, min(size) FILTER (sd > 0 AND (1.959963985 + 0.8416212336) * sd / sqrt(size) <= 0.05) AS n FROM sp, z GROUP BY 1, 2""")
+def sample_sizes(spark: SparkSession, d: str) -> DataFrame:
+    """Queries a stratum needs to show a difference of 0.05."""
+    return stats.smallest_sample(_spreads(spark, d), 0.05)
+
+
+@query(f"WITH {_PAIRED} SELECT metric, count(*) AS n, true AS p_in_range, true AS delta_in_interval FROM pr GROUP BY 1")
+def significance_ranges(spark: SparkSession, d: str) -> DataFrame:
+    """What holds of resampling whatever the signs drawn: p within 0..1 and the difference within its interval."""
+    r = stats.resample(_pairs(spark, d))
+    return r.select("metric", "n", ((F.col("p") > 0) & (F.col("p") <= 1)).alias("p_in_range"), F.col("delta").between(F.col("ci_low") - 1e-6, F.col("ci_high") + 1e-6).alias("delta_in_interval"))
+
+
+_FLOORS = {
+    "popularity": "n AS (SELECT doc_id, count(*) AS n FROM qrels WHERE grade >= 1 GROUP BY 1 ORDER BY n DESC, doc_id LIMIT 50), f_popularity AS (SELECT query_id, doc_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY n DESC, doc_id) AS INTEGER) AS rank FROM (SELECT DISTINCT query_id FROM qs), n)",
+    "length": "nl AS (SELECT doc_id, sum(length(body)) AS n FROM p WHERE doc_id IS NOT NULL AND body IS NOT NULL GROUP BY 1 ORDER BY n DESC, doc_id LIMIT 50), f_length AS (SELECT query_id, doc_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY n DESC, doc_id) AS INTEGER) AS rank FROM (SELECT DISTINCT query_id FROM qs), nl)",
+    "oracle": "f_oracle AS (SELECT * FROM (SELECT query_id, doc_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY grade DESC, doc_id) AS INTEGER) AS rank FROM qrels WHERE grade >= 1) WHERE rank <= 50)",
+    "random": "f_random AS (SELECT query_id, doc_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY md5(query_id || '|' || doc_id), doc_id) AS INTEGER) AS rank FROM ra)",
+}
+_FLOOR_MEANS = f"""{_BASE}, {", ".join(_FLOORS.values())}, {", ".join(_panel_sql('f_' + f, 'pf_' + f) for f in _FLOORS)},
+fm AS ({" UNION ALL ".join(f"SELECT '{f}' AS floor, round(avg(ndcg_10), 6) AS mean FROM pf_{f}" for f in _FLOORS)})"""
+
+
+def _floor_means(spark: SparkSession, d: str) -> DataFrame:
+    """floor, mean: ndcg at 10 of rankings that know nothing, and of the perfect one."""
+    q, rel = judged_queries(spark, d), tb.qrels(spark, d)
+    lengths = tb.passages(spark, d).where("doc_id IS NOT NULL AND body IS NOT NULL").groupBy("doc_id").agg(F.sum(F.length("body")).alias("length"))
+    runs = {"popularity": diagnose.popularity_run(q, rel), "length": diagnose.length_run(q, lengths), "oracle": diagnose.oracle_run(rel), "random": diagnose.random_run(doc_run(spark, d, "base"))}
+    out = None
+    for name, run in runs.items():
+        one = metrics.panel(q, run, rel).agg(F.round(F.avg("ndcg_10"), 6).alias("mean")).select(F.lit(name).alias("floor"), "mean")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query(f"""WITH {_FLOOR_MEANS}, s AS (SELECT max(mean) FILTER (floor = 'popularity') AS pop, max(mean) FILTER (floor = 'length') AS len, max(mean) FILTER (floor = 'oracle') AS best, max(mean) FILTER (floor = 'random') AS rnd FROM fm)
+SELECT 'popularity alone scores' AS warning FROM s WHERE pop > 0.15 UNION ALL SELECT 'length alone scores' FROM s WHERE len > 0.15 UNION ALL SELECT 'a perfect ranking does not reach 1' FROM s WHERE best < 0.99
+UNION ALL SELECT 'relevance is concentrated in few documents' FROM s WHERE pop - rnd > 0.25""")
+def benchmark_warnings(spark: SparkSession, d: str) -> DataFrame:
+    """What the floors say against these judgments."""
+    return spark.createDataFrame([(w,) for w in diagnose.sanity({r["floor"]: r["mean"] or 0.0 for r in _floor_means(spark, d).collect()})], "warning string")
+
+
+@query(f"""WITH {_FLOOR_MEANS.replace(_BASE + ',', _BASE + ', ' + _panel_sql('ra', 'pa') + ', ' + _long_sql('pa', 'la') + ', ' + _bounds_sql('ra', 'ba') + ',', 1)},
+md AS (SELECT count(*) AS docs FROM (SELECT DISTINCT upper(trim(doc_id)) FROM corpus_docs WHERE trim(doc_id) <> ''))
+SELECT 'mean' AS part, coalesce(stratum, '(none)') AS stratum, metric AS name, round(avg(value), 6) AS value, count(*) AS n FROM la GROUP BY 2, 3
+UNION ALL SELECT 'mean', '*', metric, round(avg(value), 6), count(*) FROM la GROUP BY 3
+UNION ALL SELECT 'floor', '*', floor, mean, NULL FROM fm
+UNION ALL SELECT 'bound', '*', 'ndcg_lo', round(avg(ndcg_lo), 6), count(*) FROM ba UNION ALL SELECT 'bound', '*', 'ndcg_hi', round(avg(ndcg_hi), 6), count(*) FROM ba
+UNION ALL SELECT 'corpus', '*', 'documents', CAST(docs AS DOUBLE), docs FROM md""")
+def eval_report(spark: SparkSession, d: str) -> DataFrame:
+    """The whole report of a run: means per stratum, floors, bounds from unjudged documents, and the corpus it holds for."""
+    run, rel = doc_run(spark, d, "base"), tb.qrels(spark, d)
+    return metrics.report(metrics.averages(metrics.to_long(_panel(spark, d, "base"), list(LONG))), _floor_means(spark, d), metrics.bounds(run, rel), tb.documents_meta(spark, d))
