@@ -287,3 +287,26 @@ def xml_tables(xml: str) -> list[tuple[str, str, list[list[str]], int]]:
             caption, label = _CAPTION.search(m.group(0)), _LABEL.search(m.group(0))
             out.append((plain(label.group(1)) if label else "", plain(caption.group(1)) if caption else "", [r[:TABLE_COLUMNS] for r in rows[:TABLE_ROWS]], len(rows)))
     return out
+
+
+def _rows_of(articles: DataFrame, parse, schema: pa.Schema, ddl: str) -> DataFrame:
+    """One row per tuple ``parse`` finds in an article's XML; one Arrow pass, nothing for null XML."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(doc, *found) for doc, xml in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) if xml is not None for found in parse(xml)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*rows) if rows else [()] * len(schema), schema)], schema=schema)
+
+    return articles.select(F.col("doc_id").cast("string"), "xml").mapInArrow(run, ddl)
+
+
+def figures(articles: DataFrame) -> DataFrame:
+    """doc_id, label, caption, graphic of article XML (doc_id, xml)."""
+    schema = pa.schema([(n, pa.string()) for n in ("doc_id", "label", "caption", "graphic")])
+    return _rows_of(articles, xml_figures, schema, "doc_id string, label string, caption string, graphic string")
+
+
+def tables(articles: DataFrame) -> DataFrame:
+    """doc_id, label, caption, rows, n_rows of article XML (doc_id, xml)."""
+    schema = pa.schema([("doc_id", pa.string()), ("label", pa.string()), ("caption", pa.string()), ("rows", pa.list_(pa.list_(pa.string()))), ("n_rows", pa.int32())])
+    return _rows_of(articles, xml_tables, schema, "doc_id string, label string, caption string, rows array<array<string>>, n_rows int")
