@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from passagemill.functions.text import norm_key
-from passagemill.session import cut_lineage, release
+from passagemill.operators.setjoin import components
+from passagemill.operators.skew import hot_keys
+from passagemill.session import cut_lineage, release, scratch_path
 
 # Limits of mined labels.
 MAX_COCITED, MAX_PER_TARGET, MAX_PER_SOURCE, MIN_CHARS, MAX_CHARS, LETTERS = 3, 4, 12, 60, 320, 0.6
@@ -17,6 +22,10 @@ GENERIC = (
     "Cell Line, Tumor", "Cell Line", "Animals, Newborn", "Rats",
 )
 CONCEPT_LEAST, CONCEPT_MOST = 3, 60
+#: Lexicon entries in one expression.
+LEXICON_BLOCK = 500
+#: Rounds in which label candidates are decided in parallel before what is left is folded, and rows of one group folded in a round.
+PARALLEL_ROUNDS, FOLD_ROWS = 2, 500_000
 # Sentences that cite without saying anything, that only state agreement, and verbs of finding.
 CONTENTLESS = (
     r"(?i)^(as )?(previously |recently )?(described|reported|reviewed|shown|discussed|published|noted|summarized)\b.{0,40}$|"
@@ -52,44 +61,115 @@ def build_labels(contexts: DataFrame, corpus: DataFrame, per_target: int = MAX_P
 
     ``contexts``: source, position, sentence, cited (array); ``corpus``: doc_id. In the order of (source, position) a
     sentence is taken unless it repeats one taken, its source has given ``per_source``, or all its targets have
-    ``per_target``; a taken sentence labels the targets below their cap. What a sentence may do depends on what was
-    taken before it, so bounds on the earlier counts are tightened until every sentence is decided: each round is
-    windows over source, sentence and target, and at least the first open sentence is decided in it.
+    ``per_target``; a taken sentence labels the targets below their cap.
+
+    What a sentence may do depends on what was taken before it. A few rounds decide in parallel all sentences whose
+    bounds on the earlier counts leave no doubt. Sentences still open then depend on each other through common sources,
+    targets or wordings; these groups are independent, so each is folded in order in a task of its own, the first
+    ``FOLD_ROWS`` of it at a time. The rounds are thus bounded by the largest such group over FOLD_ROWS.
     """
     cited = contexts.select("source", "position", F.trim("sentence").alias("sentence"), F.array_distinct("cited").alias("cited"), F.size("cited").alias("n_cocited"))
     good = cited.where((F.col("n_cocited") <= MAX_COCITED) & usable_query(F.col("sentence")))
-    key = F.trim(F.regexp_replace(F.lower("sentence"), r"[^\p{L}\p{N}_]+", " "))
+    key = F.sha2(F.trim(F.regexp_replace(F.lower("sentence"), r"[^\p{L}\p{N}_]+", " ")), 256)
     rows = good.select("source", "position", "sentence", key.alias("key"), "n_cocited", F.explode("cited").alias("target")).where(F.col("target") != F.col("source"))
     rows = cut_lineage(rows.join(corpus.select(F.col("doc_id").alias("target")).distinct(), "target", "left_semi").distinct())
     state = cut_lineage(rows.select("source", "position", "key").distinct().withColumn("taken", F.lit(None).cast("boolean")))
     order = ["source", "position"]
-    before = lambda *by: Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    done = 0
     while True:
-        yes = F.coalesce(F.when(F.col("taken"), 1).otherwise(0), F.lit(0))
-        may = F.when(F.col("taken").isNull() | F.col("taken"), 1).otherwise(0)
-        s = state
-        for name, by in (("src", "source"), ("key", "key")):
-            w = before(by)
-            s = s.withColumn(f"{name}_lo", F.coalesce(F.sum(yes).over(w), F.lit(0))).withColumn(f"{name}_hi", F.coalesce(F.sum(may).over(w), F.lit(0)))
-        t = rows.select("source", "position", "target").join(state, order)
-        w = before("target")
-        # a taken sentence labels a target only below its cap, so capped counts of taken sentences bound the labels given
-        t = t.withColumn("lo", F.coalesce(F.sum(yes).over(w), F.lit(0))).withColumn("hi", F.coalesce(F.sum(may).over(w), F.lit(0)))
-        free = t.groupBy(*order).agg(F.max(F.when(F.col("hi") < per_target, 1).otherwise(0)).alias("surely"), F.max(F.when(F.col("lo") < per_target, 1).otherwise(0)).alias("maybe"))
-        s = s.join(free, order)
-        surely = (F.col("key_hi") == 0) & (F.col("src_hi") < per_source) & (F.col("surely") == 1)
-        never = (F.col("key_lo") > 0) | (F.col("src_lo") >= per_source) | (F.col("maybe") == 0)
-        old, state = state, cut_lineage(s.select("source", "position", "key", F.coalesce("taken", F.when(surely, True).when(never, False)).alias("taken")))
+        bounds = _label_bounds(rows, state, order)
+        if done < PARALLEL_ROUNDS:
+            surely = (F.col("key_hi") == 0) & (F.col("source_hi") < per_source) & F.exists("targets", lambda t: t["hi"] < per_target)
+            never = (F.col("key_lo") > 0) | (F.col("source_lo") >= per_source) | ~F.exists("targets", lambda t: t["lo"] < per_target)
+            new = bounds.select(*order, "key", F.coalesce("taken", F.when(surely, True).when(never, False)).alias("taken"))
+        else:
+            folded = _fold_labels(bounds.where("taken IS NULL"), order, per_target, per_source)
+            new = state.join(folded, order, "left").select(*order, "key", F.coalesce("taken", "_taken").alias("taken"))
+        done += 1
+        old, state = state, cut_lineage(new)
         release(old)
         if not state.where("taken IS NULL").limit(1).count():
             break
     kept = rows.join(state.where("taken").select(*order), order)
-    nth = F.row_number().over(Window.partitionBy("target").orderBy(*order))
+    nth = F.row_number().over(Window.partitionBy("target").orderBy(*order))  # Catalyst keeps the first few of a target before the shuffle
     kept = kept.withColumn("_n", nth).where(F.col("_n") <= per_target)
     qid = F.concat(F.lit("cite:"), F.col("source"), F.lit(":"), F.substring(F.sha1("sentence"), 1, 10))
     return kept.select(qid.alias("query_id"), F.col("sentence").alias("query"), "source", "target", grade_for(F.col("n_cocited")).alias("grade"), "n_cocited")
 
 
+def _label_bounds(rows: DataFrame, state: DataFrame, order: list[str]) -> DataFrame:
+    """``state`` with the least (lo) and most (hi) sentences taken before each of its source, its key and its targets."""
+    yes, may = F.when(F.col("taken"), 1).otherwise(0), F.when(F.col("taken").isNull() | F.col("taken"), 1).otherwise(0)
+    s = state
+    for name in ("source", "key"):
+        s = _counts_before(s, name, order, {f"{name}_lo": yes, f"{name}_hi": may})
+    # a taken sentence labels a target only below its cap, so capped counts of taken sentences bound the labels given
+    t = _counts_before(rows.select(*order, "target").join(state.select(*order, "taken"), order), "target", order, {"lo": yes, "hi": may})
+    targets = t.groupBy(*order).agg(F.collect_list(F.struct("target", "lo", "hi")).alias("targets"))  # at most MAX_COCITED
+    return s.join(targets, order)
+
+
+def _counts_before(df: DataFrame, by: str, order: list[str], flags: dict[str, Column]) -> DataFrame:
+    """``df`` with the sum of each flag over the earlier rows of the same ``by``.
+
+    Where one value of ``by`` has more rows than a task should sort, its rows are cut at sampled sources: the sums of
+    the blocks before are added to those inside a block.
+    """
+    hot = None if by == "source" else hot_keys(df, by)
+    before = lambda *keys: Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    if hot is None:
+        return df.withColumns({n: zero(F.sum(f).over(before(by))) for n, f in flags.items()})
+    # the cut points only decide where blocks end, so a bounded sample of them serves tables of any size
+    sample = sorted(r[0] for r in df.select("source").distinct().orderBy(F.xxhash64("source")).limit(2048).collect())
+    cuts = sample[8::8]
+    block = F.size(F.filter(F.array(*map(F.lit, cuts)).cast("array<string>"), lambda c: c <= F.col("source")))
+    blocked = df.withColumn("_block", block)
+    inside = blocked.withColumns({n: zero(F.sum(f).over(before(by, "_block"))) for n, f in flags.items()})
+    sums = blocked.groupBy(by, "_block").agg(*[F.sum(f).alias(f"_{n}") for n, f in flags.items()])
+    w = Window.partitionBy(by).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.withColumns({f"_{n}": zero(F.sum(f"_{n}").over(w)) for n in flags})
+    joined = inside.join(sums, [by, "_block"])
+    return joined.withColumns({n: F.col(n) + F.col(f"_{n}") for n in flags}).drop("_block", *[f"_{n}" for n in flags])
+
+
+def _fold_labels(open_rows: DataFrame, order: list[str], per_target: int, per_source: int) -> DataFrame:
+    """source, position, _taken of the first FOLD_ROWS open sentences of every group of dependent ones.
+
+    What earlier decided sentences took is in the rows' lower bounds; the fold adds what it takes itself. Where all open
+    sentences together are no more than one fold takes, they are one group, as groups only serve to fold side by side.
+    """
+    name = F.to_json(F.struct(*order))
+    rows = cut_lineage(open_rows.withColumn("node", name))
+    if rows.count() <= FOLD_ROWS:
+        return _folded(rows.withColumn("component", F.lit("")), order, per_target, per_source)
+    hub = lambda kind, c: F.concat(F.lit(kind), c)
+    hubs = F.concat(F.array(hub("s:", F.col("source")), hub("k:", F.col("key"))), F.transform("targets", lambda t: hub("t:", t["target"])))
+    links = rows.select(F.col("node").alias("left"), F.explode(hubs).alias("right"))
+    nodes = rows.select("node").unionByName(links.select(F.col("right").alias("node")))
+    return _folded(rows.join(components(nodes, links), "node"), order, per_target, per_source)
+
+
+def _folded(rows: DataFrame, order: list[str], per_target: int, per_source: int) -> DataFrame:
+    grouped = rows.withColumn("_n", F.row_number().over(Window.partitionBy("component").orderBy(*order))).where(F.col("_n") <= FOLD_ROWS)
+
+    def fold(table: pa.Table) -> pa.Table:
+        given: Counter = Counter()
+        taken = []
+        rows = sorted(table.to_pylist(), key=lambda r: r["_n"])
+        for r in rows:
+            s, k, targets = ("s", r["source"]), ("k", r["key"]), r["targets"]
+            ok = r["key_lo"] + given[k] == 0 and r["source_lo"] + given[s] < per_source and any(t["lo"] + given["t", t["target"]] < per_target for t in targets)
+            taken.append(ok)
+            if ok:
+                given.update([s, k, *(("t", t["target"]) for t in targets)])
+        return pa.table({"source": [r["source"] for r in rows], "position": [r["position"] for r in rows], "_taken": pa.array(taken, pa.bool_())}, schema=pa.schema([table.schema.field("source"), table.schema.field("position"), ("_taken", pa.bool_())]))
+
+    types = dict(grouped.dtypes)
+    slim = grouped.select("component", "source", "position", "key", "key_lo", "source_lo", "targets", "_n")
+    return slim.groupBy("component").applyInArrow(fold, f"source {types['source']}, position {types['position']}, _taken boolean")
+
+
 def snowball_frontier(cited: DataFrame, corpus: DataFrame) -> DataFrame:
     """doc_id, n: cited documents the corpus lacks (cited: doc_id), most cited first."""
     return cited.join(corpus.select("doc_id").distinct(), "doc_id", "left_anti").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
@@ -202,22 +282,29 @@ def hard_negatives(run: DataFrame, qrels: DataFrame, sources: DataFrame, depth:
 def expand_queries(queries: DataFrame, lexicon: DataFrame, per_key: int = 4, most: int = 24) -> DataFrame:
     """query_id, expanded, added: tokens of lexicon variants whose key occurs in the query, longest key first.
 
-    ``lexicon`` (key, variants) is a maintained word list; it is collected behind a check of its size and becomes part
-    of the expression, so no join is needed. Keys are tried until ``most`` tokens are added (checked between keys).
+    ``lexicon`` (key, variants) is a maintained word list. It is taken in blocks that become part of the expression, so
+    no join is needed and the state of a query is handed from block to block; a list of any length is fetched block by
+    block. Keys are tried until ``most`` tokens are added (checked between keys).
     """
     from passagemill.functions.text import tokenize
 
-    rows = lexicon.limit(2001).collect()
-    if len(rows) > 2000:
-        raise ValueError("the lexicon has more than 2000 keys")
-    entries = sorted(((r["key"].lower(), list(r["variants"])[:per_key]) for r in rows), key=lambda e: (-len(e[0]), e[0]))
+    ranked = lexicon.select(F.lower("key").alias("key"), F.slice("variants", 1, per_key).alias("variants")).where("key <> ''")
     low, own = F.lower("query"), tokenize(F.col("query"))
-    table = F.array(*[F.struct(F.lit(k).alias("k"), F.array(*map(F.lit, v)).cast("array<string>").alias("v")) for k, v in entries]) if entries else F.array().cast("array<struct<k:string,v:array<string>>>")
-    hit = F.filter(table, lambda e: F.contains(low, e["k"]))
-    start = F.array().cast("array<string>")
+    out = queries.withColumn("added", F.array().cast("array<string>"))
     add = lambda acc, e: F.when(F.size(acc) < most, F.concat(acc, F.array_except(F.array_except(F.flatten(F.transform(e["v"], lambda v: tokenize(v))), own), acc))).otherwise(acc)
-    added = F.aggregate(hit, start, add)
-    return queries.select("query_id", added.alias("added"), F.trim(F.concat_ws(" ", "query", F.array_join(added, " "))).alias("expanded"))
+    block: list = []
+
+    def apply(df: DataFrame, entries: list) -> DataFrame:
+        table = F.array(*[F.struct(F.lit(k).alias("k"), F.array(*map(F.lit, v)).cast("array<string>").alias("v")) for k, v in entries])
+        return df.withColumn("added", F.aggregate(F.filter(table, lambda e: F.contains(low, e["k"])), F.col("added"), add))
+
+    for r in ranked.orderBy(F.desc(F.char_length("key")), "key").toLocalIterator():
+        block.append((r["key"], list(r["variants"] or [])))
+        if len(block) == LEXICON_BLOCK:
+            out, block = apply(out, block), []
+    if block:
+        out = apply(out, block)
+    return out.select("query_id", "added", F.trim(F.concat_ws(" ", "query", F.array_join("added", " "))).alias("expanded"))
 
 
 def vocabulary_overlap(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -249,3 +336,21 @@ def synthesis_queries(headings: DataFrame, topics: DataFrame, corpus: DataFrame,
     j = held.join(kept, ["source", "heading"]).join(topics.select("source", "topic"), "source", "left")
     text = F.concat_ws(" ", "heading", "topic")
     return j.select(F.concat(F.lit("synth:"), F.substring(F.sha1(F.concat_ws("|", "source", "heading")), 1, 12)).alias("query_id"), text.alias("query"), "source", "doc_id", F.lit(3).alias("grade"))
+
+
+def strata_bundle(strata: dict[str, DataFrame]) -> DataFrame:
+    """query_id, query, stratum, doc_id, grade, exclude of all strata (query_id, query, doc_id, grade and, where a query was
+    mined from a document, exclude)."""
+    out = None
+    for name, rows in strata.items():
+        exclude = F.col("exclude") if "exclude" in rows.columns else F.lit(None).cast("string")
+        one = rows.select("query_id", "query", F.lit(name).alias("stratum"), "doc_id", "grade", exclude.alias("exclude"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def write_strata(bundle: DataFrame) -> DataFrame:
+    """The bundle as a table of the shared folder, partitioned by stratum, as it is read back."""
+    path = scratch_path(bundle.sparkSession, "strata")
+    bundle.write.partitionBy("stratum").parquet(path)
+    return bundle.sparkSession.read.parquet(path)

@@ -243,18 +243,12 @@ def usable_queries(spark: SparkSession, d: str) -> DataFrame:
     return q.select("query_id", labels.usable_query(F.col("query")).alias("usable"))
 
 
-def _contexts(spark: SparkSession, d: str) -> DataFrame:
+def contexts(spark: SparkSession, d: str) -> DataFrame:
     """Citing sentences: the labels of one query and source, its targets as the works cited."""
     c = read(spark, d, "citation_labels").select(clean_id(F.col("source_doc_id")).alias("source"), clean_id(F.col("target_doc_id")).alias("target"), "query_id", F.col("query").alias("sentence")).dropna().distinct()
     return c.groupBy("source", F.col("query_id").alias("position"), "sentence").agg(F.sort_array(F.collect_set("target")).alias("cited"))
 
 
-@query()
-def mined_labels(spark: SparkSession, d: str) -> DataFrame:
-    """Graded labels of citing sentences under the caps of the ordered pass."""
-    return labels.build_labels(_contexts(spark, d), tb.documents_meta(spark, d).select("doc_id"))
-
-
 @query(f"WITH {tb.META}, c AS (SELECT upper(trim(unnest(cites))) AS doc_id FROM m UNION ALL SELECT upper(trim(target_doc_id)) FROM (SELECT DISTINCT label_id, target_doc_id FROM citation_labels)) SELECT doc_id, count(*) AS n FROM c WHERE doc_id <> '' AND doc_id NOT IN (SELECT doc_id FROM m) GROUP BY 1")
 def snowball_frontier(spark: SparkSession, d: str) -> DataFrame:
     """Cited documents the corpus lacks, with the times they are cited by documents and labels."""
@@ -374,13 +368,6 @@ def gazetteer_mentions(spark: SparkSession, d: str) -> DataFrame:
     return labels.gazetteer_mentions(titles, descriptor_gazetteer(spark, d))
 
 
-@query()
-def expanded_queries(spark: SparkSession, d: str) -> DataFrame:
-    """Queries with the variants of a small word list."""
-    lexicon = spark.createDataFrame([("renal", ["kidney", "nephric"]), ("dermal melanoma", ["skin cancer"]), ("tumours", ["tumors", "neoplasm"]), ("oral", ["mouth"])], "key string, variants array<string>")
-    return labels.expand_queries(tb.search_queries(spark, d).select("query_id", "query"), lexicon)
-
-
 @query(f"""WITH {tb.Q}, {tb.META}, a AS (SELECT DISTINCT unnest({tb.tok("replace(u, 'MESH:', '')")}) AS term FROM (SELECT unnest(descriptors) AS u FROM m)), b AS (SELECT DISTINCT unnest({tb.tok('query')}) AS term FROM q)
 SELECT (SELECT count(*) FROM a) AS "left", (SELECT count(*) FROM b) AS "right", (SELECT count(*) FROM a JOIN b USING (term)) AS common, round((SELECT count(*) FROM a JOIN b USING (term)) / (SELECT count(*) FROM (SELECT term FROM a UNION SELECT term FROM b)), 6) AS jaccard,
   round((SELECT count(*) FROM a JOIN b USING (term)) / (SELECT count(*) FROM a), 6) AS coverage""")

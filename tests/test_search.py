@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from passagemill.functions import text as tx
-from passagemill.operators import compare, dense, diagnose, fusion, labels, lexical, metrics, rerank, stats, structure
+from passagemill.operators import compare, dense, diagnose, fusion, labels, lexical, metrics, ontology, rerank, skew, stats, structure
 from passagemill.sources import corpus as src
 from passagemill.streaming import ledger
 
@@ -127,9 +127,15 @@ def test_reference_lists_and_chunks(spark):
     assert structure.densities(np.array([structure.count_signals(refs)]))[0] == pytest.approx(one(spark, structure.density(F.col("t")), t=refs), abs=1e-9)
 
 
-def test_labels_against_the_ordered_pass(spark):
+@pytest.mark.parametrize("rounds, rows, least", [(3, 500_000, 200_000), (1, 40, 6)])
+def test_labels_against_the_ordered_pass(spark, monkeypatch, rounds, rows, least):
+    """The same labels whether decided in parallel, by folds of a few rows, or with counts in blocks."""
     import random
 
+    monkeypatch.setattr(labels, "PARALLEL_ROUNDS", rounds)
+    monkeypatch.setattr(labels, "FOLD_ROWS", rows)
+    monkeypatch.setattr(skew, "LEAST_ROWS", least)
+
     rng = random.Random(5)
     ctx = []
     for s in range(14):
@@ -248,3 +254,34 @@ def test_block_search_equals_the_join(spark):
             got = lexical.search(queries, units, 7, literal_boost=2.0, block=block, score=score)
             assert {(r["query_id"], r["rank"], r["unit_id"], r["score"]) for r in got.collect()} == want
     assert lexical.search(queries.limit(0), units, 7).count() == 0 and lexical.search(queries, units.limit(0), 7).count() == 0
+
+
+def test_registry_cascade(spark):
+    ddl = "source string, place int, key string, code string, kind string, kind_rank int, code_name boolean, at int, relation string, synonyms array<string>"
+    rows = [
+        ("first", 0, "pdl1", "C1", "protein", 0, False, 5, "identity", ["CD274", "PD-L1", "B7-H1", "X" * 41, "12-34-5678", "CD"]),
+        ("first", 0, "pdl1", "C0", "assay", 4, False, 1, "identity", ["PD-L1 Measurement"]),
+        ("second", 1, "pdl1", "D1", "gene", 0, False, 0, "identity", ["programmed death ligand"]),
+        ("second", 1, "trial1", "N1", "trial", 0, False, 0, "association", ["Drug One"]),
+        ("first", 0, "egfrt790m", "C2", "variant", 0, False, 0, "identity", ["T790M mutation"]),
+        ("second", 1, "egfr", "D2", "gene", 0, False, 0, "identity", ["ERBB1"]),
+        ("first", 0, "er", "C3", "protein", 0, False, 0, "identity", ["estrogen receptor"]),
+    ]
+    registry = spark.createDataFrame(rows, ddl)
+    q = spark.createDataFrame([("a", " pd-l1 "), ("b", "EGFR T790M"), ("c", "does EGFR matter with PD-L1 or TRIAL-1 AND EGFR"), ("d", "ER"), ("e", None), ("f", "nothing known")], "query_id string, query string")
+    got = {(r["query_id"], r["place"]): (r["source"], r["code"], r["senses"], r["synonyms"]) for r in ontology.resolve(q, registry).collect()}
+    assert got == {("a", 0): ("first", "C1", 2, ["CD274", "B7-H1"]), ("b", 0): ("first", "C2", 1, ["T790M mutation"]), ("c", 1): ("second", "D2", 1, ["ERBB1"]), ("c", 2): ("first", "C1", 2, ["CD274", "B7-H1"]), ("c", 3): ("second", "N1", 1, ["Drug One"])}
+    resolved = ontology.resolve(q, registry)
+    text = {r["query_id"]: r["expanded"] for r in ontology.expand(q, resolved, repeat=2).collect()}
+    assert text["b"] == "EGFR T790M EGFR T790M T790M mutation" and text["c"].endswith("EGFR ERBB1 CD274 B7-H1") and text["f"] == "nothing known nothing known"
+    assert {r["query_id"]: r["added"] for r in ontology.expand(q, resolved, identity_only=False).collect()}["c"][-1] == "Drug One"
+
+
+def test_lexicon_in_blocks(spark, monkeypatch):
+    """A lexicon of any length, in blocks, expands as one."""
+    lexicon = spark.createDataFrame([(f"key{i:02d}", [f"variant{i:02d} more{i % 3}"]) for i in range(40)], "key string, variants array<string>")
+    q = spark.createDataFrame([("a", "key01 and key39 with key17"), ("b", " ".join(f"key{i:02d}" for i in range(40))), ("c", None)], "query_id string, query string")
+    whole = {r["query_id"]: r["added"] for r in labels.expand_queries(q, lexicon).collect()}
+    monkeypatch.setattr(labels, "LEXICON_BLOCK", 7)
+    assert {r["query_id"]: r["added"] for r in labels.expand_queries(q, lexicon).collect()} == whole
+    assert whole["a"] == ["variant01", "more1", "variant17", "more2", "variant39", "more0"] and 24 <= len(whole["b"]) <= 25 and whole["c"] == []
