@@ -80,11 +80,11 @@ def label_leaks(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _index(spark: SparkSession, d: str) -> lexical.Index:
-    return lexical.build_index(tb.passages(spark, d).select("unit_id", "text"))
+    return tb.index(spark, d).flat()
 
 
 def _lexical(spark: SparkSession, d: str, k: int = 50) -> DataFrame:
-    return lexical.search(tb.search_queries(spark, d), tb.passages(spark, d).select("unit_id", "text"), k)
+    return lexical.search_index(tb.search_queries(spark, d), tb.index(spark, d), k)
 
 
 def _dense(spark: SparkSession, d: str, k: int = 50) -> DataFrame:
@@ -105,12 +105,12 @@ def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {tb.index_sql(10, 'raw_tf')} SELECT query_id, unit_id, score, rank FROM lex")
 def raw_tf_topk(spark: SparkSession, d: str) -> DataFrame:
-    return lexical.search(tb.search_queries(spark, d), tb.passages(spark, d).select("unit_id", "text"), 10, score="raw_tf")
+    return lexical.search_index(tb.search_queries(spark, d), tb.index(spark, d), 10, score="raw_tf")
 
 
 @query(f"WITH {tb.index_sql(10)} SELECT query_id, unit_id, score, rank FROM lex")
 def bm25_by_join(spark: SparkSession, d: str) -> DataFrame:
-    """The same through a stored index: query terms joined with postings, for indexes that outlive a query set."""
+    """The same as one equi-join of query terms and postings."""
     return lexical.top_k(lexical.bm25(lexical.query_terms(tb.search_queries(spark, d)), _index(spark, d)), 10)
 
 

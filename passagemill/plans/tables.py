@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from passagemill.functions.text import STOPWORDS, indexable_text
+from passagemill.operators import lexical
 from passagemill.operators.orphans import clean_id
-from passagemill.session import read, spread
+from passagemill.session import kept_table, read, spread
 
 
 def passages(spark: SparkSession, d: str) -> DataFrame:
@@ -17,6 +18,12 @@ def passages(spark: SparkSession, d: str) -> DataFrame:
     return c.select(F.col("chunk_id").alias("unit_id"), clean_id(F.col("doc_id")).alias("doc_id"), "doc_type", "title", "section", "ordinal", F.col("text").alias("body"), indexable_text(F.col("title"), F.col("section"), F.col("text")).alias("text"), "start_char", "end_char")
 
 
+def index(spark: SparkSession, d: str) -> lexical.StoredIndex:
+    """The stored lexical index of the passages, written when it is first asked for."""
+    write = lambda path: lexical.write_index(passages(spark, d).select("unit_id", "text"), path)
+    return lexical.read_index(spark, kept_table(read(spark, d, "chunks"), "lexical", write))
+
+
 def vectors(spark: SparkSession, d: str) -> DataFrame:
     """unit_id, doc_id, doc_type, embedding of every chunk with one."""
     c = read(spark, d, "chunks").where(F.col("embedding").isNotNull()).select("chunk_id", "doc_id", "doc_type", "embedding")

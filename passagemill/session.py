@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import hashlib
 import os
 import tempfile
 import uuid
@@ -102,6 +103,29 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+def kept_table(df: DataFrame, name: str, write) -> str:
+    """The path of what ``write(path)`` made of the files behind ``df``, made anew only when the files have changed.
+
+    It stays in the shared folder beyond the session; ``write`` must end with the table ``meta``, which marks it complete.
+    """
+    spark = df.sparkSession
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    path_of = jvm.org.apache.hadoop.fs.Path
+    seen = []
+    for f in sorted(df.inputFiles()):
+        p = path_of(f)
+        status = p.getFileSystem(conf).getFileStatus(p)
+        seen.append(f"{f}:{status.getLen()}:{status.getModificationTime()}")
+    start = f"{shared_dir(spark).rstrip('/')}/{name}-{hashlib.md5('|'.join(seen).encode()).hexdigest()}"
+    pattern = path_of(f"{start}-*/meta/_SUCCESS")
+    done = pattern.getFileSystem(conf).globStatus(pattern)
+    if done:
+        return str(done[0].getPath().getParent().getParent())
+    path = f"{start}-{uuid.uuid4().hex}"
+    write(path)
+    return path
+
+
 _shipped: set[str] = set()
 
 

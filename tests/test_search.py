@@ -240,19 +240,26 @@ def test_stream_equals_batch(spark, tmp_path):
     assert ledger.hourly(batch).count() == 4
 
 
-def test_block_search_equals_the_join(spark):
+def test_block_search_equals_the_join(spark, tmp_path, monkeypatch):
     import random
 
+    monkeypatch.setattr(lexical, "SHARD_UNITS", 40)
+
     rng = random.Random(8)
     words = [f"w{i}" for i in range(30)] + ["t790m", "pd-l1"]
     units = spark.createDataFrame([(f"u{i:03d}", " ".join(rng.choice(words) for _ in range(rng.randrange(0, 25)))) for i in range(150)] + [("null", None)], "unit_id string, text string").repartition(3)
     queries = spark.createDataFrame([(f"q{i}", " ".join(rng.choice(words) for _ in range(rng.randrange(1, 6)))) for i in range(20)] + [("none", "zzz"), ("empty", ""), ("null", None)], "query_id string, query string")
     ix = lexical.build_index(units)
+    lexical.write_index(units, f"{tmp_path}/index")
+    stored = lexical.read_index(spark, f"{tmp_path}/index")
     for score, slow in (("bm25", lexical.bm25(lexical.query_terms(queries), ix, literal_boost=2.0)), ("raw_tf", lexical.raw_tf(lexical.query_terms(queries), ix))):
         want = {(r["query_id"], r["rank"], r["unit_id"], r["score"]) for r in lexical.top_k(slow, 7).collect()}
         for block in (4, 1000):
-            got = lexical.search(queries, units, 7, literal_boost=2.0, block=block, score=score)
-            assert {(r["query_id"], r["rank"], r["unit_id"], r["score"]) for r in got.collect()} == want
+            for got in (lexical.search(queries, units, 7, literal_boost=2.0, block=block, score=score), lexical.search_index(queries, stored, 7, literal_boost=2.0, block=block, score=score)):
+                assert {(r["query_id"], r["rank"], r["unit_id"], r["score"]) for r in got.collect()} == want
+    assert stored.flat().postings.count() == ix.postings.count() and stored.n == 151 and lexical.search_index(queries.limit(0), stored, 7).count() == 0
+    lexical.write_index(units.limit(0), f"{tmp_path}/empty")
+    assert lexical.search_index(queries, lexical.read_index(spark, f"{tmp_path}/empty"), 7).count() == 0
     assert lexical.search(queries.limit(0), units, 7).count() == 0 and lexical.search(queries, units.limit(0), 7).count() == 0
 
 
