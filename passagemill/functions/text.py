@@ -96,3 +96,10 @@ def clauses(text: Column) -> Column:
 def numbers(text: Column) -> Column:
     """The numeric literals of a text, in order."""
     return F.regexp_extract_all(text, F.lit(r"(\b[0-9]+(?:[.,][0-9]+)?\b)"), F.lit(1))
+
+
+def masked(text: Column, patterns: list[str]) -> Column:
+    """A text without what the patterns match in any case, white space collapsed: what is left to judge it by."""
+    for p in patterns:
+        text = F.regexp_replace(text, f"(?i){p}", " ")
+    return F.trim(F.regexp_replace(text, r"\s+", " "))

@@ -80,7 +80,10 @@ def rerank_pairs(run: DataFrame, name: str, depth: int = 50) -> DataFrame:
 
 
 def judge_pairs(run: DataFrame, name: str, depth: int = 24, max_chars: int = 1200) -> DataFrame:
-    """``run`` with ``judged`` (0..3, null beyond ``depth`` or where the model abstains)."""
+    """``run`` with ``judged`` (0..3, null beyond ``depth`` or where the model abstains).
+
+    A judge is shown the first ``max_chars`` characters of a passage, as its prompt is of bounded size.
+    """
     model = JUDGES[name]
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

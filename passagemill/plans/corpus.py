@@ -186,6 +186,19 @@ FIGURE_TYPES = (
 )
 
 
+def _masked_sql(column: str) -> str:
+    for _, p in FIGURE_TYPES:
+        column = f"regexp_replace({column}, '(?i){p}', ' ', 'g')"
+    return f"trim(regexp_replace({column}, '\\s+', ' ', 'g'), ' ')"
+
+
+@query(f"WITH t AS (SELECT DISTINCT chunk_id, upper(trim(doc_id)) AS doc_id, text FROM chunks WHERE text IS NOT NULL AND trim(doc_id) <> '') SELECT chunk_id, length({_masked_sql('text')}) AS chars, ('0x' || substr(sha1(doc_id), 1, 8))::BIGINT % 100 < 25 AS held_out FROM t")
+def masked_passages(spark: SparkSession, d: str) -> DataFrame:
+    """Passages without the words that give their figure type away, and which documents are held out by hash."""
+    t = read(spark, d, "chunks").select("chunk_id", clean_id(F.col("doc_id")).alias("doc_id"), "text").where("text IS NOT NULL AND doc_id IS NOT NULL").distinct()
+    return t.select("chunk_id", F.char_length(tx.masked(F.col("text"), [p for _, p in FIGURE_TYPES])).alias("chars"), (labels.hash_percent(F.col("doc_id"), "sha1") < 25).alias("held_out"))
+
+
 @query("WITH t AS (SELECT chunk_id, unnest([" + ", ".join(f"CASE WHEN regexp_matches(text, '(?i){p}') THEN '{n}' END" for n, p in FIGURE_TYPES) + "]) AS figure_type FROM (SELECT DISTINCT chunk_id, text FROM chunks)) SELECT figure_type, count(*) AS passages FROM t WHERE figure_type IS NOT NULL GROUP BY 1")
 def figure_types(spark: SparkSession, d: str) -> DataFrame:
     """Passages naming each figure type; a passage may name several."""
@@ -361,7 +374,13 @@ def hard_negatives(spark: SparkSession, d: str) -> DataFrame:
     return labels.hard_negatives(doc_run(spark, d, "base"), tb.qrels(spark, d), s)
 
 
-@query()
+# Spans of up to three words, folded from the left: a span is kept if it starts after the end of the one kept last.
+@query(rf"""WITH {tb.META}, t AS (SELECT doc_id AS query_id, list_filter(string_split_regex(title, '[^\p{{L}}\p{{N}}\-/+]+'), lambda x: x <> '') AS w FROM m WHERE title IS NOT NULL),
+g AS (SELECT DISTINCT regexp_replace(lower(d), '[^\p{{L}}\p{{N}}]', '', 'g') AS key FROM (SELECT e.descriptor AS d, e.ui AS ui FROM (SELECT unnest(mesh) AS e FROM europepmc_records)) WHERE d IS NOT NULL AND ui IS NOT NULL),
+s AS (SELECT query_id, i AS start, n AS words, regexp_replace(lower(array_to_string(w[i:i + n - 1], ' ')), '[^\p{{L}}\p{{N}}]', '', 'g') AS key, len(w) AS size FROM (SELECT query_id, w, unnest(range(1, len(w) + 1)) AS i FROM t), (SELECT unnest([1, 2, 3]) AS n) WHERE i + n - 1 <= len(w)),
+h AS (SELECT query_id, list(struct_pack(start := start, words := words, key := key) ORDER BY start, words DESC, key) AS o FROM s WHERE key IN (SELECT key FROM g WHERE key <> '') GROUP BY 1),
+r AS (SELECT query_id, list_reduce(list_concat([[struct_pack(start := CAST(0 AS BIGINT), words := 1, key := '')]], list_transform(o, lambda x: [struct_pack(start := x.start, words := x.words, key := x.key)])), lambda acc, e: CASE WHEN e[1].start > acc[-1].start + acc[-1].words - 1 THEN list_concat(acc, e) ELSE acc END) AS k FROM h)
+SELECT query_id, CAST(x.start AS INTEGER) AS start, CAST(x.words AS INTEGER) AS words, x.key AS key FROM (SELECT query_id, unnest(k[2:]) AS x FROM r)""")
 def gazetteer_mentions(spark: SparkSession, d: str) -> DataFrame:
     """Descriptors named in the documents' titles, leftmost longest."""
     titles = tb.documents_meta(spark, d).where("title IS NOT NULL").select(F.col("doc_id").alias("query_id"), F.col("title").alias("query"))

@@ -109,6 +109,10 @@ def search(config: Config, queries: DataFrame, passages: DataFrame, query_vector
     return kept.select("query_id", "doc_id", "unit_id", "score", "rank", "abstained")
 
 
+#: Iteration under which the one measurement of the test split is recorded.
+FINAL = 999
+
+
 def measure(config: Config, ranking: DataFrame, queries: DataFrame, qrels: DataFrame, names: tuple[str, ...]) -> DataFrame:
     """run, query_id, stratum, metric, value of a ranking (query_id, doc_id, rank)."""
     run = ranking.where(F.col("doc_id").isNotNull()).select("query_id", "doc_id", "rank")
@@ -151,6 +155,27 @@ def draws(ledger: DataFrame, split: str = "dev") -> int:
     return ledger.where(F.col("split") == split).select("iteration", "config").distinct().count()
 
 
+def final_test(ledger: str, champion: Config, baseline_run: DataFrame, champion_run: DataFrame, candidates: int) -> dict:
+    """Open the held-out split once: the gate's decision on it, and how much of the gain on dev is left.
+
+    ``baseline_run`` and ``champion_run`` are measured runs (query_id, stratum, metric, value) on the split 'test'. The
+    measurement is recorded in ``ledger`` first, and a split that the ledger has a measurement of is not opened again.
+    """
+    spark = baseline_run.sparkSession
+    past = spark.read.parquet(ledger)
+    if draws(past, "test"):
+        raise PermissionError("the test split has been opened")
+    means = metrics.averages(champion_run)
+    record(ledger, FINAL, champion, "test", means)
+    pairs = stats.paired(baseline_run, champion_run)
+    tested = lambda by, rows: stats.compare(rows, by).withColumn("p", stats.sign_bound(F.col("wins"), F.col("losses")))
+    strata = tested(["stratum", "metric"], pairs.where("metric = 'ndcg_10'")).withColumn("mde", stats.detectable_effect(F.col("n"), F.col("sd")))
+    decided = stats.gate(tested(["metric"], pairs), strata, max(candidates, draws(past)))
+    dev = past.where("split = 'dev' AND stratum = '*' AND metric = 'ndcg_10'").where(F.col("config") == champion.name).orderBy(F.desc("iteration")).select("mean").first()
+    test = means.where("stratum = '*' AND metric = 'ndcg_10'").select("mean").first()
+    return decided | {"dev": dev[0] if dev else None, "test": test[0] if test else None}
+
+
 def compare_grid_inputs(ranking: DataFrame, n: int) -> DataFrame:
     """The first n documents of each query, in order: the rows of its comparison."""
     w = Window.partitionBy("query_id").orderBy("rank")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from passagemill.functions import text as tx
-from passagemill.operators import dense, evidence, fusion, lexical, rerank
+from passagemill.operators import dense, evidence, fusion, labels, lexical, rerank
 from passagemill.plans import tables as tb
 from passagemill.session import read, spread
 
@@ -137,6 +137,14 @@ def dense_topk(spark: SparkSession, d: str) -> DataFrame:
     return _dense(spark, d, 10)
 
 
+@query(f"WITH {tb.DENSE} SELECT query_id, unit_id, score, rank FROM dense WHERE rank <= 10")
+def indexed_topk(spark: SparkSession, d: str) -> DataFrame:
+    """The same through a vector index: only the cells that can hold one of the ten nearest are searched."""
+    units = tb.vectors(spark, d).select("unit_id", "embedding")
+    sizes = units.groupBy(F.size("embedding").alias("dim")).count().orderBy(F.desc("count"), "dim").first()
+    return dense.cells_topk(tb.query_vectors(spark, d), None if sizes is None else dense.build_cells(units, sizes["dim"]), 10)
+
+
 @query(f"""WITH {tb.V}, l AS (SELECT doc_id, generate_subscripts(embedding, 1) - 1 AS dim, unnest(embedding) AS x FROM v WHERE doc_id IS NOT NULL),
 a AS (SELECT doc_id, dim, avg(CAST(x AS DOUBLE)) AS m FROM l GROUP BY 1, 2), s AS (SELECT doc_id, sqrt(sum(m * m)) AS s FROM a GROUP BY 1)
 SELECT doc_id, CAST(dim AS INTEGER) AS dim, round(m / s, 6) AS value FROM a JOIN s USING (doc_id) WHERE s > 0""")
@@ -172,6 +180,22 @@ def prototype_classes(spark: SparkSession, d: str) -> DataFrame:
     return dense.prototype_classes(read(spark, d, "embeddings"), "vec_id", "label")
 
 
+_TESTED = "('0x' || substr(sha1(CAST(vec_id AS VARCHAR)), 1, 8))::BIGINT % 100 < 25"
+
+
+@query(f"""WITH l AS (SELECT vec_id, label, generate_subscripts(embedding, 1) - 1 AS dim, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings),
+a AS (SELECT label, dim, avg(x) AS m FROM l WHERE NOT ({_TESTED}) GROUP BY 1, 2), c AS (SELECT label AS predicted, dim, m / sqrt(sum(m * m) OVER (PARTITION BY label)) AS c FROM a),
+s AS (SELECT vec_id, label, predicted, round(sum(x * c), 6) AS d FROM l JOIN c ON l.dim = c.dim WHERE {_TESTED} GROUP BY 1, 2, 3),
+r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY d DESC, predicted) AS r, lead(d) OVER (PARTITION BY vec_id ORDER BY d DESC, predicted) AS next FROM s)
+SELECT label, count(*) AS tested, count(*) FILTER (predicted = label) AS hits, count(*) FILTER (d - coalesce(next, 0) < 0.02) AS unsure FROM r WHERE r = 1 GROUP BY 1""")
+def prototype_holdout(spark: SparkSession, d: str) -> DataFrame:
+    """Prototypes of three quarters of the vectors, by hash, on the other quarter: hits, and calls without a clear lead."""
+    e = read(spark, d, "embeddings").withColumn("tested", labels.hash_percent(F.col("vec_id").cast("string"), "sha1") < 25)
+    test = e.where("tested")
+    got = dense.prototype_classes(test, "vec_id", "label", e.where("NOT tested")).join(test.select("vec_id", "label"), "vec_id")
+    return got.groupBy("label").agg(F.count(F.lit(1)).alias("tested"), F.count_if(F.col("predicted") == F.col("label")).alias("hits"), F.count_if(F.col("margin") < 0.02).alias("unsure"))
+
+
 @query()
 def vector_clusters(spark: SparkSession, d: str) -> DataFrame:
     return dense.kmeans(read(spark, d, "embeddings").select("vec_id", "embedding"), "vec_id", 8)
