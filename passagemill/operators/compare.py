@@ -12,7 +12,6 @@ from passagemill.functions.text import tokenize
 
 class Aspect(NamedTuple):
     key: str
-    label: str
     question: str
     cues: tuple[str, ...]
     numeric: bool = False
@@ -20,14 +19,14 @@ class Aspect(NamedTuple):
 
 # The aspects papers are compared on, with the cues that report them.
 ASPECTS = (
-    Aspect("cohort", "Cohort / sample", "how many patients or samples were studied, and what population", ("patients", "participants", "cohort", "enrolled", "n =", "n=", "samples", "subjects", "cases", "consecutive", "median age", "eligible"), True),
-    Aspect("assay", "Assay / platform", "what assay, sequencing platform, or measurement technology was used", ("sequencing", "ngs", "ddpcr", "digital pcr", "qpcr", "rna-seq", "wes", "wgs", "immunohistochemistry", "ihc", "flow cytometry", "mass spectrometry", "elisa", "panel", "assay", "platform", "illumina", "single-cell", "spatial")),
-    Aspect("endpoint", "Endpoint", "what clinical or biological endpoint was measured", ("progression-free survival", "overall survival", "pfs", "os", "response rate", "orr", "objective response", "duration of response", "endpoint", "primary outcome", "disease-free", "event-free", "time to", "clearance")),
-    Aspect("effect", "Effect size / statistics", "what effect size, hazard ratio, or statistical result was reported", ("hazard ratio", "hr ", "odds ratio", "95% ci", "confidence interval", "p =", "p<", "p =", "median pfs", "median os", "ic50", "fold change", "significant", "log-rank", "auc", "sensitivity", "specificity"), True),
-    Aspect("model", "Model system", "what experimental model was used", ("cell line", "xenograft", "pdx", "patient-derived", "organoid", "mouse", "mice", "in vitro", "in vivo", "knockout", "crispr", "transgenic", "syngeneic")),
-    Aspect("intervention", "Intervention / agent", "what drug, dose, or intervention was administered", ("mg", "dose", "administered", "treated with", "monotherapy", "combination", "regimen", "cycle", "intravenous", "oral", "twice daily", "once daily")),
-    Aspect("resistance", "Resistance mechanism", "what mechanism of resistance or escape was identified", ("resistance", "resistant", "escape", "bypass", "acquired", "refractory", "relapse", "progression on", "mutation", "amplification", "loss of")),
-    Aspect("limitation", "Limitations", "what limitations or caveats did the authors state", ("limitation", "caveat", "retrospective", "single-center", "small sample", "not powered", "confounding", "selection bias", "should be interpreted")),
+    Aspect("cohort", "how many patients or samples were studied, and what population", ("patients", "participants", "cohort", "enrolled", "n =", "n=", "samples", "subjects", "cases", "consecutive", "median age", "eligible"), True),
+    Aspect("assay", "what assay, sequencing platform, or measurement technology was used", ("sequencing", "ngs", "ddpcr", "digital pcr", "qpcr", "rna-seq", "wes", "wgs", "immunohistochemistry", "ihc", "flow cytometry", "mass spectrometry", "elisa", "panel", "assay", "platform", "illumina", "single-cell", "spatial")),
+    Aspect("endpoint", "what clinical or biological endpoint was measured", ("progression-free survival", "overall survival", "pfs", "os", "response rate", "orr", "objective response", "duration of response", "endpoint", "primary outcome", "disease-free", "event-free", "time to", "clearance")),
+    Aspect("effect", "what effect size, hazard ratio, or statistical result was reported", ("hazard ratio", "hr ", "odds ratio", "95% ci", "confidence interval", "p =", "p<", "p =", "median pfs", "median os", "ic50", "fold change", "significant", "log-rank", "auc", "sensitivity", "specificity"), True),
+    Aspect("model", "what experimental model was used", ("cell line", "xenograft", "pdx", "patient-derived", "organoid", "mouse", "mice", "in vitro", "in vivo", "knockout", "crispr", "transgenic", "syngeneic")),
+    Aspect("intervention", "what drug, dose, or intervention was administered", ("mg", "dose", "administered", "treated with", "monotherapy", "combination", "regimen", "cycle", "intravenous", "oral", "twice daily", "once daily")),
+    Aspect("resistance", "what mechanism of resistance or escape was identified", ("resistance", "resistant", "escape", "bypass", "acquired", "refractory", "relapse", "progression on", "mutation", "amplification", "loss of")),
+    Aspect("limitation", "what limitations or caveats did the authors state", ("limitation", "caveat", "retrospective", "single-center", "small sample", "not powered", "confounding", "selection bias", "should be interpreted")),
 )
 BY_KEY = {a.key: a for a in ASPECTS}
 DEFAULT = ("cohort", "assay", "endpoint", "effect")

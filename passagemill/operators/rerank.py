@@ -85,9 +85,10 @@ def rerank(run: DataFrame, queries: DataFrame, units: DataFrame, depth: int = 10
 
     ``run`` has query_id, unit_id, rank; ``queries`` query_id, query; ``units`` unit_id, text, section.
     """
-    head = run.where(F.col("rank") <= depth).join(queries.select("query_id", "query"), "query_id").join(units.select("unit_id", "text", "section"), "unit_id")
     n = F.count(F.lit(1)).over(Window.partitionBy("query_id"))
-    f = features(spread(head, "query_id").withColumn("_n", n))  # few bytes but much work a row
+    head = run.where(F.col("rank") <= depth).withColumn("_n", n).join(queries.select("query_id", "query"), "query_id").join(units.select("unit_id", "text", "section"), "unit_id")
+    # few bytes but much work a row: by both ids, as a partitioning that is there already would be kept, and few tasks with it
+    f = features(spread(head, "query_id", "unit_id"))
     w = weights
     score = (
         F.lit(w.base) * (F.col("_n") - F.col("rank") + 1) / F.col("_n")
@@ -97,8 +98,10 @@ def rerank(run: DataFrame, queries: DataFrame, units: DataFrame, depth: int = 10
         + F.lit(w.literal) * F.col("literal")
         + F.lit(w.section) * F.col("thesis")
     )
-    scored = f.select("query_id", "unit_id", F.round(score, 6).alias("score"))
-    floor = scored.groupBy("query_id").agg(F.min("score").alias("_floor"))
-    tail = run.where(F.col("rank") > depth).join(floor, "query_id").select("query_id", "unit_id", F.round(F.col("_floor") - 1e-6 * (F.col("rank") - depth), 6).alias("score"))
+    # the rest hangs below the least score of the head, which the window over both finds without scoring the head again
+    scored = f.select("query_id", "unit_id", "rank", F.round(score, 6).alias("score"))
+    both = scored.unionByName(run.where(F.col("rank") > depth).select("query_id", "unit_id", "rank", F.lit(None).cast("double").alias("score")))
+    floor = F.min("score").over(Window.partitionBy("query_id"))
+    placed = both.withColumn("_floor", floor).where(F.col("_floor").isNotNull()).select("query_id", "unit_id", F.coalesce("score", F.round(F.col("_floor") - 1e-6 * (F.col("rank") - depth), 6)).alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "unit_id")
-    return scored.unionByName(tail).withColumn("rank", F.row_number().over(order))
+    return placed.withColumn("rank", F.row_number().over(order))

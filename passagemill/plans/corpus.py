@@ -10,7 +10,7 @@ from passagemill.operators import compare, labels, setjoin, structure
 from passagemill.operators.evidence import find_clauses
 from passagemill.operators.orphans import clean_id
 from passagemill.plans import tables as tb
-from passagemill.session import read, scratch_path, widen
+from passagemill.session import read, scratch_path, spread, widen
 from passagemill.sources import corpus as src
 from passagemill.streaming import ledger
 
@@ -235,7 +235,7 @@ def clause_spans(spark: SparkSession, d: str) -> DataFrame:
     """The best clauses of each candidate passage with the offsets of their matched words."""
     run = tb.candidate_run(spark, d, "base").select("query_id", "unit_id")
     pairs = run.join(tb.search_queries(spark, d).select("query_id", "query"), "query_id").join(tb.passages(spark, d).select("unit_id", "body", "start_char"), "unit_id")
-    each = find_clauses(pairs).select("query_id", "unit_id", F.posexplode("clauses").alias("at", "c"))
+    each = find_clauses(spread(pairs, "query_id", "unit_id")).select("query_id", "unit_id", F.posexplode("clauses").alias("at", "c"))
     spans = F.array_join(F.transform("c.spans", lambda w: F.concat_ws("-", w["start"], w["end"])), " ")
     return each.select("query_id", "unit_id", (F.col("at") + 1).alias("rank"), F.col("c.text").alias("clause"), F.col("c.start").alias("start"), F.col("c.end").alias("end"), F.col("c.score").alias("score"), spans.alias("spans"))
 

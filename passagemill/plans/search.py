@@ -405,7 +405,7 @@ def evidence_clauses(spark: SparkSession, d: str) -> DataFrame:
     """The three clauses of each candidate passage that answer its query best."""
     run = _run(spark, d, "base").select("query_id", "unit_id")
     parts = run.join(tb.passages(spark, d).select("unit_id", "body"), "unit_id").select("query_id", "unit_id", F.explode(tx.clauses(F.col("body"))).alias("clause"))
-    k = parts.where(F.trim("clause") != "").distinct().join(tb.search_queries(spark, d).select("query_id", "query"), "query_id")
+    k = spread(parts.where(F.trim("clause") != ""), "query_id", "unit_id").distinct().join(tb.search_queries(spark, d).select("query_id", "query"), "query_id")
     s = k.select("query_id", "unit_id", "clause", evidence.clause_score(F.array_distinct(tx.tokenize(F.col("query"))), tx.tokenize(F.col("clause"))).alias("score")).where("score > 0")
     w = Window.partitionBy("query_id", "unit_id").orderBy(F.desc("score"), "clause")
     return s.withColumn("rank", F.row_number().over(w)).where("rank <= 3")

@@ -9,6 +9,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
 
@@ -27,12 +28,12 @@ def widen(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if 2 * df.rdd.getNumPartitions() < cores else df
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """``df`` hashed by ``key`` into the session's shuffle partitions, which AQE then leaves as they are.
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` hashed by ``keys`` into the session's shuffle partitions, which AQE then leaves as they are.
 
-    For stages that cost more CPU than bytes: a later ``distinct`` or aggregate by ``key`` needs no shuffle of its own.
+    For stages that cost more CPU than bytes: a later ``distinct`` or aggregate by them needs no shuffle of its own.
     """
-    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -109,14 +110,11 @@ def kept_table(df: DataFrame, name: str, write) -> str:
     It stays in the shared folder beyond the session; ``write`` must end with the table ``meta``, which marks it complete.
     """
     spark = df.sparkSession
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    path_of = jvm.org.apache.hadoop.fs.Path
-    seen = []
-    for f in sorted(df.inputFiles()):
-        p = path_of(f)
-        status = p.getFileSystem(conf).getFileStatus(p)
-        seen.append(f"{f}:{status.getLen()}:{status.getModificationTime()}")
-    start = f"{shared_dir(spark).rstrip('/')}/{name}-{hashlib.md5('|'.join(seen).encode()).hexdigest()}"
+    seen = F.xxhash64("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time")
+    # no column of the data is read, only which files there are
+    n, mixed, total = df.select(seen.alias("h")).distinct().agg(F.count(F.lit(1)), F.bit_xor("h"), F.sum(F.pmod("h", F.lit(1_000_003)))).first()
+    start = f"{shared_dir(spark).rstrip('/')}/{name}-{hashlib.md5(f'{n}|{mixed}|{total}'.encode()).hexdigest()}"
+    path_of, conf = spark.sparkContext._jvm.org.apache.hadoop.fs.Path, spark.sparkContext._jsc.hadoopConfiguration()
     pattern = path_of(f"{start}-*/meta/_SUCCESS")
     done = pattern.getFileSystem(conf).globStatus(pattern)
     if done:
