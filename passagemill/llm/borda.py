@@ -37,15 +37,19 @@ def cosine(a: str, b: str):
     return F.when((F.size(F.col(a)) == F.size(F.col(b))) & (size > 0), dot / size)
 
 
-def average_ranks(items: DataFrame, group: str, item: str, scores: list[str]) -> DataFrame:
+#: Stands for hot groups that are not known yet.
+UNKNOWN = "unknown"
+
+
+def average_ranks(items: DataFrame, group: str, item: str, scores: list[str], hot: DataFrame | str | None = UNKNOWN) -> DataFrame:
     """For each score s: ``s_rank`` (ties averaged, missing at the middle) and ``s_above`` (items strictly higher);
     besides ``_n``, the size of the group, and ``_missing``, its items with a missing score.
 
     One window shuffle by group serves all scores. Groups too large for a task are cut by value instead: bounded
     quantile sketches give cut points, equal values stay in one block, and the counts of the blocks above are added
-    to the ranks inside a block.
+    to the ranks inside a block. ``hot`` gives the hot groups (``skew.hot_keys``) where they were counted before.
     """
-    hot = hot_keys(items, group)
+    hot = hot_keys(items, group) if isinstance(hot, str) else hot
     marks = None if hot is None else F.broadcast(hot.select(F.col(group).alias("_g")))
     small = items if hot is None else items.join(marks, items[group] == F.col("_g"), "left_anti")
     size = F.count(F.lit(1)).over(Window.partitionBy(group))
@@ -90,48 +94,50 @@ def _hot_ranks(items: DataFrame, hot: DataFrame, group: str, scores: list[str],
     return out
 
 
-def borda(items: DataFrame, group: str, item: str, weights: dict[str, float], keep_size: bool = False) -> DataFrame:
+def borda(items: DataFrame, group: str, item: str, weights: dict[str, float], keep_size: bool = False, hot: DataFrame | str | None = UNKNOWN) -> DataFrame:
     """``items`` with rank, points and above-counts: column ``points``, ``<score>_rank``, ``<score>_above``."""
     scores = [s for s, w in weights.items() if w]
-    ranked = average_ranks(items.distinct(), group, item, scores)
+    ranked = average_ranks(items.distinct(), group, item, scores, hot)
     points = sum((F.lit(float(weights[s])) * (F.col("_n") - F.col(f"{s}_rank")) for s in scores), F.lit(0.0))
     ranked = ranked.withColumn("points", points)
     return ranked if keep_size else ranked.drop("_n", "_missing")
 
 
-def final_order(scored: DataFrame, group: str, item: str) -> DataFrame:
+def final_order(scored: DataFrame, group: str, item: str, hot: DataFrame | str | None = UNKNOWN) -> DataFrame:
     """``rank`` 1.. within each group, by points and identifier.
 
     Places above come from the same ranking as the scores; only items tied on their points are numbered in a window.
     """
-    ranked = average_ranks(scored, group, item, ["points"])
+    ranked = average_ranks(scored, group, item, ["points"], hot)
     w = Window.partitionBy(group, "points").orderBy(item)
     return ranked.withColumn("rank", F.col("points_above") + F.row_number().over(w)).drop("points_above", "points_rank", "_n", "_missing")
 
 
-def among_first(items: DataFrame, group: str, item: str, weights: dict[str, float], n: int) -> DataFrame:
+def among_first(items: DataFrame, group: str, item: str, weights: dict[str, float], n: int, hot: DataFrame | str | None = UNKNOWN) -> DataFrame:
     """Items that stand among the first ``n`` of their group on every score: fewer than n strictly higher, none missing.
 
     They are taken from the head of the Borda order and then checked. An item with more points than such an item has a
     better rank on some score: it is strictly higher there, as n - 1 items per score are at most, or it misses that
     score. So no more than (n - 1) * scores + the items with a missing score can be before it, and the head ends there.
     """
-    scored = borda(items, group, item, weights, keep_size=True).withColumnRenamed("_missing", "_short").drop("_n")
+    hot = hot_keys(items, group) if isinstance(hot, str) else hot
+    scored = borda(items, group, item, weights, True, hot).withColumnRenamed("_missing", "_short").drop("_n")
     used = [s for s, w in weights.items() if w]
-    placed = average_ranks(scored, group, item, ["points"])
+    placed = average_ranks(scored, group, item, ["points"], hot)
     head = placed.where(F.col("points_above") <= F.lit((n - 1) * len(used)) + F.col("_short"))
     for s in used:
         head = head.where(F.col(f"{s}_above") < n)
     return head.drop("_n", "_short", "_missing", "points_above", "points_rank")
 
 
-def with_closeness(candidates: DataFrame, queries: DataFrame, chunks: DataFrame) -> DataFrame:
+def with_closeness(candidates: DataFrame, queries: DataFrame, chunks: DataFrame, hot: DataFrame | str | None = UNKNOWN) -> DataFrame:
     """Candidates with ``closeness``, the cosine of passage and query embedding; unknown ids give null.
 
-    Vectors are taken once per id. A passage or query owning much of the candidates is salted.
+    Vectors are taken once per id. A passage or query owning many of the candidates is salted; ``hot`` gives the hot
+    queries where they were counted before.
     """
     vec = lambda df, key, name: df.where(F.col("embedding").isNotNull() & F.col(key).isNotNull()).groupBy(key).agg(F.first("embedding").alias(name))
     slim = candidates.distinct()
     a = salted_join(slim, vec(chunks, "chunk_id", "_cv"), "chunk_id", hot_keys(slim, "chunk_id"), F.col("query_id"), "left")
-    b = salted_join(a, vec(queries, "query_id", "_qv"), "query_id", hot_keys(slim, "query_id"), F.col("chunk_id"), "left")
+    b = salted_join(a, vec(queries, "query_id", "_qv"), "query_id", hot_keys(slim, "query_id") if isinstance(hot, str) else hot, F.col("chunk_id"), "left")
     return b.withColumn("closeness", cosine("_cv", "_qv")).drop("_cv", "_qv")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from passagemill.llm import borda, distinctive, leakage, neighbours, overlap, splitting, subjects, tokenizer
 from passagemill.operators.orphans import clean_id
+from passagemill.operators.skew import hot_keys
 from passagemill.session import read, widen
 
 QUERIES: dict = {}
@@ -69,21 +70,25 @@ ORACLE["p1_term_drift"] = f"""WITH {_TERMS} SELECT t.term, t.df, s.df AS stored_
 _WEIGHTS = {"base": 1.0, "coverage": 1.0, "proximity": 1.0, "closeness": 1.0}
 
 
-def _scored(spark: SparkSession, d: str) -> DataFrame:
+def _scored(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame | None]:
+    """The candidates with all scores, and the queries with too many of them for one task."""
     candidates = read(spark, d, "candidates").select("query_id", "chunk_id", "base", "coverage", "proximity").distinct()
-    return borda.with_closeness(candidates, read(spark, d, "queries").select("query_id", "embedding"), read(spark, d, "chunks").select("chunk_id", "embedding"))
+    hot = hot_keys(candidates, "query_id")
+    return borda.with_closeness(candidates, read(spark, d, "queries").select("query_id", "embedding"), read(spark, d, "chunks").select("chunk_id", "embedding"), hot), hot
 
 
 @query
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    return borda.among_first(_scored(spark, d), "query_id", "chunk_id", _WEIGHTS, 5).select("query_id", "chunk_id").distinct()
+    scored, hot = _scored(spark, d)
+    return borda.among_first(scored, "query_id", "chunk_id", _WEIGHTS, 5, hot).select("query_id", "chunk_id").distinct()
 
 
 @query
 def p4_ranking(spark: SparkSession, d: str) -> DataFrame:
     """The one ranking of every query's candidates."""
-    ranked = borda.borda(_scored(spark, d), "query_id", "chunk_id", _WEIGHTS)
-    return borda.final_order(ranked, "query_id", "chunk_id").select("query_id", "chunk_id", F.round("points", 6).alias("points"), "rank")
+    scored, hot = _scored(spark, d)
+    ranked = borda.borda(scored, "query_id", "chunk_id", _WEIGHTS, hot=hot)
+    return borda.final_order(ranked, "query_id", "chunk_id", hot).select("query_id", "chunk_id", F.round("points", 6).alias("points"), "rank")
 
 
 def _above(s: str) -> str:
@@ -141,7 +146,7 @@ n AS (SELECT chunk_id, e, sqrt(list_dot_product(e, e)) AS s FROM v WHERE list_do
 SELECT DISTINCT a.chunk_id AS chunk_lo, b.chunk_id AS chunk_hi FROM n a JOIN n b ON a.chunk_id < b.chunk_id WHERE list_dot_product(a.e, b.e) / (a.s * b.s) >= 0.9"""
 # marks stand for the white space between sentences, as the pattern cannot look around
 _STRETCHES = lambda parts: f"list_max(list_transform({parts}, lambda x: length(trim(x, chr(32) || chr(9) || chr(10) || chr(13)))))"
-ORACLE["p6_found"] = rf"""WITH c AS (SELECT DISTINCT chunk_id, text, regexp_replace(text, '([.!?])[ 	
+ORACLE["p6_found"] = rf"""WITH c AS (SELECT DISTINCT chunk_id, text, regexp_replace(text, '([.!?])[ 	
 ]+([A-Z(])', '' || chr(1) || '', 'g') AS marked FROM chunks WHERE length(text) > 1600)
 SELECT DISTINCT chunk_id, CASE WHEN {_STRETCHES("regexp_split_to_array(text, '\n[ \t\r]*\n')")} <= 1600 THEN 'paragraph' WHEN {_STRETCHES("regexp_split_to_array(marked, '\n[ \t\r]*\n|\x01')")} <= 1600 THEN 'sentence'
   WHEN {_STRETCHES("regexp_split_to_array(text, '[ \t\r\n]+')")} <= 1600 THEN 'space' ELSE 'none' END AS boundary FROM c"""
