@@ -115,7 +115,7 @@ SELECT query_id, chunk_id, round(points, 6) AS points, row_number() OVER (PARTIT
 
 @query
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    near = neighbours.neighbours(read(spark, d, "chunks")).where("similarity >= 0.9")
+    near = neighbours.neighbours(read(spark, d, "chunks"), least=0.9)
     return near.select(F.least("id", "neighbour").alias("chunk_lo"), F.greatest("id", "neighbour").alias("chunk_hi")).distinct()
 
 

@@ -195,6 +195,45 @@ def test_shards_of_leaves():
     assert same.leaves >= 1
 
 
+def test_walks_to_many_leaves_together():
+    """Which leaves a walk reaches, without a queue that grows with it; at 9 million vectors it is over a thousand leaves."""
+    rng = np.random.default_rng(2)
+    x = (rng.normal(size=(6000, 16)) + 2 * rng.normal(size=(9, 16))[rng.integers(0, 9, 6000)]).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    tree = neighbours.Tree(x, 1.0, leaf=12)
+    near = x[np.argsort(tree.assign(x), kind="stable")]
+    for visits in (1, 7, 60, 400, tree.leaves + 3):
+        leaves, visited = tree.visited(near[500:596], visits)
+        for r, own in enumerate(near[500:596]):
+            plain, got = set(_plain_walk(tree, own, visits)), set(leaves[visited[r]].tolist())
+            # branches behind one worst branch come together, so there may be a few more
+            assert plain <= got and len(got) <= 1.5 * visits + 8
+    took = {}
+    for name, walk in (("queue", tree.walk), ("together", tree.visited)):
+        began = time.process_time()
+        for a in range(0, 960, 96):
+            walk(near[a : a + 96], 400)
+        took[name] = time.process_time() - began
+    assert 2 * took["together"] < took["queue"]
+
+
+def test_lookup_in_small_shards_and_from_a_least_similarity(spark, monkeypatch):
+    monkeypatch.setattr(neighbours.pack, "__defaults__", (40,))
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(600, 8)) + 4 * rng.normal(size=(3, 8))[rng.integers(0, 3, 600)]
+    rows = [(f"v{i:03d}", [float(a) for a in v]) for i, v in enumerate(x)] + [("copy", [float(a) for a in x[3]])]
+    df = spark.createDataFrame(rows, "chunk_id string, embedding array<float>")
+    every = {(r["id"], r["neighbour"]): (r["rank"], r["similarity"]) for r in neighbours.neighbours(df, 5, recall=1.0).collect()}
+    m = np.array([v for _, v in rows])
+    m /= np.linalg.norm(m, axis=1, keepdims=True)
+    s = m @ m.T
+    np.fill_diagonal(s, -2)
+    hit = sum(s[i, j] >= np.sort(s[i])[-5] - 1e-6 for i in range(601) for j in range(601) if (rows[i][0], rows[j][0]) in every)
+    assert len(every) == 601 * 5 and hit >= 0.99 * len(every) and every["copy", "v003"] == (1, 1.0)
+    some = {(r["id"], r["neighbour"]): (r["rank"], r["similarity"]) for r in neighbours.neighbours(df, 5, recall=1.0, least=0.95).collect()}
+    assert some == {pair: v for pair, v in every.items() if v[1] >= 0.95} and 0 < len(some) < len(every)
+
+
 # 6
 
 
